@@ -24,4 +24,54 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 """
 
-ORACLE: dict[str, str] = {"op3_decontamination": OP3}
+OP2 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM g) WHERE c > 1) GROUP BY r
+), l AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r
+), f AS (
+  SELECT r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN l USING (r)
+), j AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines
+         OR CAST(word_chars AS DOUBLE) / greatest(n_words, 1) NOT BETWEEN 2.0 AND 15.0 AS failed
+  FROM f
+), h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INT)) AS DOUBLE) AS k FROM j GROUP BY source),
+a AS (SELECT sum(n) AS docs, sum(k) AS fails, count(*) AS hosts, sum(k * k / n) AS sq FROM h),
+m AS (SELECT fails / docs AS m, sq / docs - (fails / docs) * (fails / docs) AS spread, (fails / docs) * (1 - fails / docs) * hosts / docs AS noise FROM a),
+pr AS (SELECT m, CASE WHEN spread > noise THEN least(greatest(m * (1 - m) / (spread - noise) - 1, 1.0), 10000.0) ELSE 10000.0 END AS wt FROM m),
+v AS (SELECT source, (k + m * wt) / (n + wt) AS rate FROM h, pr)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND rate <= 0.5 AS kept, failed AS rule_failed, round(rate, 6) AS host_rate
+FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
+"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP8 = f"""
+WITH s AS (
+  SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN {_LOWER.format("regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1)")} ELSE '' END AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
+), r(rule, verdict, rhost, rpath) AS (
+  VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'),
+         ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')
+), b AS (
+  SELECT *, (SELECT max_by((rule, r.verdict), length(rule)) FROM r WHERE (s.host = rhost OR s.host LIKE '%.' || rhost) AND starts_with(s.path, rpath)) AS best FROM s
+), c AS (
+  SELECT *, CASE WHEN coalesce(url, '') NOT LIKE '%://%' THEN coalesce(url, '') ELSE
+    {_LOWER.format("regexp_extract(url, '^((?s:.*?))://', 1)")} || '://' ||
+    regexp_replace(rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), CASE {_LOWER.format("regexp_extract(url, '^((?s:.*?))://', 1)")} WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '$.' END, ''), '.'), '^www[.]', '') ||
+    CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN regexp_matches(url, '^(?s:.*?)://[^#]*[?][^#]') THEN '?' || regexp_extract(url, '^(?s:.*?)://[^#?]*[?]([^#]*)', 1) ELSE '' END END AS canon FROM b
+)
+SELECT page_id, host, path, best[1] AS rule,
+       coalesce(best[2], CASE WHEN canon GLOB '*://*cheap-pills.*' OR canon GLOB '*://*spam-farm.*' OR canon GLOB '*://*casino*' OR canon GLOB '*://*/wp-login*'
+         OR canon GLOB '*://*/cgi-bin/*' OR canon GLOB '*://*adult-*' OR canon GLOB '*://*.onion/*' THEN 'block' ELSE 'allow' END) AS verdict
+FROM c
+"""
+
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op8_url_filters": OP8}
