@@ -74,4 +74,19 @@ SELECT page_id, host, path, best[1] AS rule,
 FROM c
 """
 
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op8_url_filters": OP8}
+OP9 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+t AS (SELECT DISTINCT a AS root, a AS x FROM l UNION SELECT t.root, l.b FROM t JOIN l ON l.a = t.x),
+c AS (SELECT x AS doc_id, min(root) AS m FROM t GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m, d.doc_id) AS component_id, d.doc_id = coalesce(m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op8_url_filters": OP8, "op9_near_dedup": OP9}
