@@ -89,4 +89,28 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m, d.d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op8_url_filters": OP8, "op9_near_dedup": OP9}
+OP10 = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+l AS (
+  SELECT doc_id, i, x[i] AS t, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w, array_to_string(w, ' ') AS g
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d)
+), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS nth FROM l WHERE len(w) >= 8),
+k AS (SELECT g, any_value(w) AS w, min((doc_id, i)) AS o, min(doc_id) AS first FROM e GROUP BY g),
+v AS (
+  SELECT g, o, -1 AS p, g AS v FROM k
+  UNION ALL SELECT g, o, p, array_to_string(list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))), ' ') FROM (SELECT g, o, w, unnest(range(1, len(w) + 1)) AS p FROM k)
+), near AS (
+  SELECT DISTINCT b.g FROM v a JOIN v b ON a.v = b.v AND a.g <> b.g AND a.o < b.o AND ((a.p = b.p) OR (a.p = -1) OR (b.p = -1))
+), f AS (
+  SELECT e.doc_id, e.i, nth = 1 AND near.g IS NOT NULL AS near, nth > 1 OR (near.g IS NULL AND first < e.doc_id) AS equal
+  FROM e JOIN k USING (g) LEFT JOIN near USING (g)
+), o AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near) AS n_near,
+         coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT coalesce(equal OR near, false)), '') AS text
+  FROM l LEFT JOIN f USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, md5(o.text) AS text_md5
+FROM documents LEFT JOIN o USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op8_url_filters": OP8, "op9_near_dedup": OP9, "op10_line_dedup": OP10}
