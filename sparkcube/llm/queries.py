@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcube.llm import decontamination, line_dedup, near_dedup, quality_rules, sharding, url_filters
+from sparkcube.llm import decontamination, language_id, line_dedup, near_dedup, ngram_lm, quality_rules, sharding, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,25 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _id_remainder(of: int) -> Column:
+    """crc32 of the doc_id as text, modulo; a null doc_id has remainder 0."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % of, F.lit(0))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs.where(_id_remainder(7) != 2))
+    found = ngram_lm.score(docs, model).withColumn("held_out", _id_remainder(7) == 2)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(_id_remainder(3) != 1))
+    found = language_id.predict(docs.select("doc_id", "text"), model).withColumn("held_out", _id_remainder(3) == 1)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -47,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
