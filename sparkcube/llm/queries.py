@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcube.llm import decontamination, language_id, line_dedup, near_dedup, ngram_lm, quality_rules, sharding, token_counts, url_filters
+from sparkcube.llm import decontamination, language_id, line_dedup, near_dedup, ngram_lm, packing, quality_rules, sharding, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def _id_remainder(of: int) -> Column:
     """crc32 of the doc_id as text, modulo; a null doc_id has remainder 0."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % of, F.lit(0))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_language_id": op7_language_id,
     "op8_url_filters": op8_url_filters,
