@@ -111,14 +111,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
         raise ValueError("remove: document or span")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hits = find_hits(docs, benchmark, window)
-    left = docs.withColumns({"_id": F.col("doc_id"), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+    # the rows travel as structs, so that none of their columns clashes with those made here
+    left = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"))
     if remove == "document":
         cond = left["_id"].eqNullSafe(hits["_id"]) & (left["_a"] == hits["_a"]) & (left["_b"] == hits["_b"])
-        return left.join(hits, cond, "left_anti").select(*docs.columns)
-    joined = _with_hits(left, hits)
+        return left.join(hits, cond, "left_anti").select("_row.*")
+    text = F.col("_row.text")
     piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
     tail = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
     kept = F.filter(pieces, lambda x, i: ~F.exists("spans", lambda s: (s["p"] <= i) & (i < s["p"] + s["k"])))
-    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return joined.withColumn("text", cut).select(*docs.columns)
+    cut = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(kept, ""), tail))
+    return _with_hits(left, hits).select(F.col("_row").withField("text", cut).alias("_row")).select("_row.*")

@@ -297,7 +297,7 @@ def score_part(part: pa.RecordBatch, model: Model, arrays: _Shards) -> dict[str,
     begins = np.zeros(len(h), bool)
     begins[to[:-1]] = True
     # the lower order: continuation counts, interpolated with an equal share for each word and the unknown one
-    low = model.unigram_backoff / (model.words + 1) + (np.maximum(contexts - _discount(contexts, model.unigram_discounts), 0) / model.types if model.types else 0)
+    low = model.unigram_backoff / (model.words + 1) + np.maximum(contexts - _discount(contexts, model.unigram_discounts), 0) / max(1, model.types)
     d = np.array(model.bigram_discounts)
     weight = np.divide(kinds @ d, total, out=np.ones(len(known)), where=total > 0)
     start_weight = float(start_kinds[0] @ d / start_total[0]) if start_total[0] > 0 and start_kinds.shape[1] == 3 else 1.0

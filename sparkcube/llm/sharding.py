@@ -100,9 +100,10 @@ def write_shards(docs: DataFrame, n_shards: int = 16, path: str | None = None) -
     plan = plan.select("doc_id", "key", "key2", "cell", "shard", "slot", F.row_number().over(Window.partitionBy("cell", "doc_id", "key", "key2").orderBy("slot")).alias("nth"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*kept, F.xxhash64(text).alias("_key"), F.xxhash64(F.lit(1), text).alias("_key2"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_key", "_key2").orderBy(F.lit(0))))
-    joined = rows.join(plan, rows["doc_id"].eqNullSafe(plan["doc_id"]) & (F.col("_key") == F.col("key")) & (F.col("_key2") == F.col("key2")) & (F.col("_nth") == F.col("nth")))
-    out = joined.select(*[rows[c] for c in kept], "shard", "slot", "cell")
-    out.repartition("shard", "cell").sortWithinPartitions("shard", "slot").drop("cell").write.partitionBy("shard").parquet(path)
+    rows = docs.select(F.struct(*kept).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.xxhash64(F.lit(1), text).alias("_key2"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key", "_key2").orderBy(F.lit(0))))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("key")) & (F.col("_key2") == F.col("key2")) & (F.col("_nth") == F.col("nth"))
+    out = rows.join(plan, same).select("_row", "shard", "slot", "cell")
+    out = out.repartition("shard", "cell").sortWithinPartitions("shard", "slot").select("_row.*", "shard", "slot")
+    out.write.partitionBy("shard").parquet(path)
     return path
