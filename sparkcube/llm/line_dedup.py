@@ -25,6 +25,8 @@ from sparkcube.llm._text import LINE, SPACED, buffers, hashed, mix, owners, slic
 
 MIN_WORDS = 8
 _B1, _B2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+#: Bytes of text that a worker handles at once.
+SLICE = 2 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -84,7 +86,7 @@ def _instances(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, doc, number, lo, n, _ = _lines(part)
                 s, ids = _Sequences(h), _ids(part)
                 a = s.of(lo, n)
@@ -155,7 +157,7 @@ def _variants(docs: DataFrame, folder: str, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = SortedFiles(folder, bits)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 h, doc, number, lo, n, _ = _lines(part)
                 s, ids = _Sequences(h), _ids(part)
                 a = s.of(lo, n)
@@ -224,7 +226,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = SortedFiles(to, to_bits)
         for batch in batches:
-            for part in slices(batch, names[text_at]):
+            for part in slices(batch, names[text_at], SLICE):
                 view = pa.RecordBatch.from_arrays([part.column(id_at).cast(pa.int64()), part.column(text_at)], names=["doc_id", "text"])
                 h, doc, _, lo, n, (data, at, ls, le) = _lines(view)
                 ids = _ids(view)
