@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcube.axes import Axis, AxisError, IntervalLabel, find_axis, get_axis
-from sparkcube.plans.axismap import BROADCAST_ROWS, type_of
+from sparkcube.axes import Axis, AxisError, find_axis, get_axis
+from sparkcube.plans.axismap import BROADCAST_ROWS, stored, type_of
 
 _BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
 #: Functions (cube, keywords) -> keywords that rewrite selections before they are resolved.
@@ -119,7 +119,7 @@ class Cube:
                 raise AxisError(f"axis {old.name} has {len(old)} labels, the new one {len(new)}")
             source, target = out.df.schema[old.name].dataType, type_of(new.values)
             schema = T.StructType([T.StructField(old.name, source), T.StructField("_new", target)])
-            pairs = out.df.sparkSession.createDataFrame(list(zip(old.values, new.values)), schema)
+            pairs = out.df.sparkSession.createDataFrame([(stored(x, source), stored(y, target)) for x, y in zip(old.values, new.values)], schema)
             joined = out.df.join(F.broadcast(pairs) if len(new) <= BROADCAST_ROWS else pairs, old.name)
             kept = [F.col("_new").alias(new.name) if d == old.name else F.col(d) for d in out.dims]
             out = out.with_df(joined.select(*kept, out.value), [new if a is old else a for a in out.axes])
@@ -161,7 +161,7 @@ class Cube:
         grid = None
         for a in self.axes:
             t = self.df.schema[a.name].dataType
-            frame = self.df.sparkSession.createDataFrame([(x,) for x in a.values], T.StructType([T.StructField(a.name, t)]))
+            frame = self.df.sparkSession.createDataFrame([(stored(x, t),) for x in a.values], T.StructType([T.StructField(a.name, t)]))
             grid = frame if grid is None else grid.crossJoin(F.broadcast(frame) if len(a) <= BROADCAST_ROWS else frame)
         return self.with_df(self.df if grid is None else grid.join(self.to_df(), list(self.dims), "left"))
 
@@ -227,12 +227,11 @@ class Cube:
         """Dense array in axis order, NaN (None for other types than numbers) where missing. For cubes that fit the driver."""
         numeric = self.dtype in _BYTES and self.dtype != "boolean"
         out = np.full(self.shape, np.nan if numeric else None, float if numeric else object)
-        index = [a.index() for a in self.axes]
+        kinds = [self.df.schema[a.name].dataType for a in self.axes]
+        index = [{stored(v, k): i for i, v in enumerate(a.values)} for a, k in zip(self.axes, kinds)]
         for row in self.to_df().collect():
-            label = [IntervalLabel(*x) if isinstance(x, T.Row) else x for x in row[:-1]]
-            at = tuple(i.get(x, next((n for k, n in i.items() if isinstance(k, tuple) and tuple(k[:2]) == tuple(x[:2])), None) if isinstance(x, tuple) else None) for i, x in zip(index, label))
             if row[-1] is not None:
-                out[at] = row[-1]
+                out[tuple(i[tuple(x) if isinstance(x, T.Row) else x] for i, x in zip(index, row[:-1]))] = row[-1]
         return out
 
     def __repr__(self) -> str:
@@ -259,15 +258,15 @@ def from_array(spark: SparkSession, array: Any, axes: Sequence[Axis] | None = No
         if not m and x is not None:
             at = np.unravel_index(i, data.shape)
             rows.append((*(a.values[k] for a, k in zip(axes, at)), x.item() if isinstance(x, np.generic) else x))
-    found = [r[-1] for r in rows]
-    schema = T.StructType([*(T.StructField(a.name, type_of(a.values)) for a in axes), T.StructField(value, type_of(found))])
+    schema = T.StructType([*(T.StructField(a.name, type_of(a.values)) for a in axes), T.StructField(value, type_of([r[-1] for r in rows]))])
+    rows = [tuple(stored(x, f.dataType) for x, f in zip(r, schema.fields)) for r in rows]
     return Cube(spark.createDataFrame(rows, schema), axes, value, dict(props or {}))
 
 
 def from_axis(spark: SparkSession, axis: Axis, value: str = "value") -> Cube:
     """The axis' labels as values along itself."""
     t = type_of(axis.values)
-    rows = [(x, x) for x in axis.values]
+    rows = [(stored(x, t), stored(x, t)) for x in axis.values]
     return Cube(spark.createDataFrame(rows, T.StructType([T.StructField(axis.name, t), T.StructField(value, t)])), (axis,), value)
 
 

@@ -64,6 +64,8 @@ class Where:
 
 
 def _literal(x: Any, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(x, kind.fields)])
     return F.lit(x).cast(kind) if isinstance(kind, T.NumericType) else F.lit(x)
 
 
@@ -78,7 +80,7 @@ def _resolve(axis: Axis, kind: T.DataType, selector: Any) -> tuple[Column, Axis
             if not found:
                 raise AxisError(f"axis {axis.name}: nothing within {selector.atol} of {selector.label}")
             return F.abs(c - F.lit(selector.label)) <= F.lit(selector.atol), axis.take(found), None
-        if isinstance(selector.label, (list, tuple)):
+        if isinstance(selector.label, (list, range)) or (isinstance(selector.label, tuple) and not hasattr(selector.label, "_fields")):
             at = [axis.position(x) - 1 for x in selector.label]
             return c.isin([_literal(axis.values[i], kind) for i in at]), axis.take(at), None
         axis.position(selector.label)
@@ -86,7 +88,7 @@ def _resolve(axis: Axis, kind: T.DataType, selector: Any) -> tuple[Column, Axis
     if isinstance(selector, Interval):
         lo, hi = selector.closed in ("both", "left"), selector.closed in ("both", "right")
         keep = [i for i, v in enumerate(axis.values) if (v >= selector.lo if lo else v > selector.lo) and (v <= selector.hi if hi else v < selector.hi)]
-        a, b = F.lit(selector.lo), F.lit(selector.hi)
+        a, b = (_literal(x, kind) if isinstance(kind, T.StructType) else F.lit(x) for x in (selector.lo, selector.hi))
         return (c >= a if lo else c > a) & (c <= b if hi else c < b), axis.take(keep), None
     if isinstance(selector, Touches):
         keep = [i for i, v in enumerate(axis.values) if v.left <= selector.hi and v.right >= selector.lo]
@@ -113,7 +115,7 @@ def select(cube: Cube, **by: Any) -> Cube:
     for query, selector in by.items():
         axis = get_axis(axes, query)
         kind = df.schema[axis.name].dataType
-        if isinstance(selector, tuple) and len(selector) == 2 and isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) and all(isinstance(x, int) for x in selector):
+        if isinstance(selector, tuple) and not hasattr(selector, "_fields") and len(selector) == 2 and isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) and all(isinstance(x, int) for x in selector):
             keep = [i for i, v in enumerate(axis.values) if selector[0] <= v.year <= selector[1]]
             predicate, left = F.year(axis.name).between(*selector), axis.take(keep)
         else:

@@ -18,9 +18,16 @@ from sparkcube.axes import Axis
 BROADCAST_ROWS = 200_000
 
 
+def stored(label: Any, kind: T.DataType) -> Any:
+    """A label as a column of this type holds it: intervals as (left, right), whole numbers as floats in a column of floats."""
+    if isinstance(kind, T.StructType):
+        return tuple(stored(x, f.dataType) for x, f in zip(label, kind.fields))
+    return float(label) if isinstance(kind, (T.DoubleType, T.FloatType)) and label is not None else label
+
+
 def label_frame(spark: SparkSession, kind: T.DataType, target: T.DataType, rows: Sequence[tuple[Any, Any, float]], source: str, dest: str, weight: str) -> DataFrame:
     schema = T.StructType([T.StructField(source, kind), T.StructField(dest, target), T.StructField(weight, T.DoubleType())])
-    frame = spark.createDataFrame([(s, d, float(w)) for s, d, w in rows], schema)
+    frame = spark.createDataFrame([(stored(s, kind), stored(d, target), float(w)) for s, d, w in rows], schema)
     return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else frame
 
 
@@ -40,6 +47,8 @@ def type_of(labels: Iterable[Any]) -> T.DataType:
         return T.TimestampNTZType()
     if isinstance(first, datetime.date):
         return T.DateType()
+    if getattr(first, "_fields", ())[:1] == ("year",):  # dates of other calendars
+        return T.StructType([T.StructField(n, T.IntegerType()) for n in first._fields])
     if isinstance(first, tuple):
         inner = type_of([x for row in labels for x in row[:2]])
         return T.StructType([T.StructField("left", inner), T.StructField("right", inner)])
@@ -52,8 +61,6 @@ def apply_map(
     """Cells joined to the map by source label and aggregated per (others, target): how(value, weight)."""
     kind = df.schema[source.name].dataType
     kind_to = target_type or (kind if target.name == source.name and type_of(target.values) == type_of(source.values) else type_of(target.values))
-    if isinstance(kind_to, T.StructType):  # interval labels travel as (left, right)
-        rows = [(s, tuple(d[:2]), w) for s, d, w in rows]
     frame = label_frame(df.sparkSession, kind, kind_to, rows, source.name, "_to", "_w")
     joined = df.select(*others, source.name, value).join(frame, source.name)
     return joined.groupBy(*others, F.col("_to").alias(target.name)).agg(how(F.col(value), F.col("_w")).alias(value))
