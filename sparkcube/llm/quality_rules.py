@@ -18,8 +18,8 @@ from sparkcube.llm._text import LINE, SPACED, buffers, hash_spans, hashed, mix,
 
 #: A host is rejected when its shrunk rate of failing documents exceeds this.
 MAX_HOST_RATE = 0.5
-#: A document is rejected when it breaks one of these rules: symbols per word, share of repeated lines, bounds of the mean word length.
-MAX_SYMBOLS, MAX_DUP_LINES, WORD_CHARS = 0.1, 0.3, (2.0, 15.0)
+#: A document is rejected when it breaks one of these rules: symbols per word, more than one repeated line in so many, bounds of the mean word length.
+MAX_SYMBOLS, DUP_LINES_IN, WORD_CHARS = 0.1, 3, (2.0, 15.0)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -89,7 +89,7 @@ def base_failed() -> Column:
 def rule_failed() -> Column:
     """Any rule broken; a text without words fails."""
     mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
-    return base_failed() | (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines")) | ~mean.between(*WORD_CHARS)
+    return base_failed() | (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (DUP_LINES_IN * F.col("n_dup_lines") > F.col("n_lines")) | ~mean.between(*WORD_CHARS)
 
 
 def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:

@@ -40,7 +40,7 @@ WITH d AS (
   FROM d LEFT JOIN rep USING (r) LEFT JOIN l USING (r)
 ), j AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.1 * n_words OR 3 * n_dup_lines > n_lines
          OR CAST(word_chars AS DOUBLE) / greatest(n_words, 1) NOT BETWEEN 2.0 AND 15.0 AS failed
   FROM f
 ), h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(failed AS INT)) AS DOUBLE) AS k FROM j GROUP BY source),
