@@ -99,15 +99,13 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     V the variance of rates weighted by size and E the binomial part of it, weight = m(1-m)/(V-E) - 1, within 1 to 10,000.
     """
     hosts = measured.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"))
-    both = hosts.agg(F.sum("n").alias("docs"), F.sum("failures").alias("fails"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("sq"))
-    m = F.col("fails") / F.col("docs")
-    spread = F.col("sq") / F.col("docs") - m * m
-    noise = m * (1 - m) * F.col("hosts") / F.col("docs")
-    weight = F.when(spread > noise, F.least(F.greatest(F.try_divide(m * (1 - m), spread - noise) - 1, F.lit(1.0)), F.lit(10_000.0))).otherwise(F.lit(10_000.0))
-    prior = both.where("docs > 0").select(m.alias("m"), weight.alias("weight"))  # one row at most
-    rate = (F.col("failures") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))
-    joined = hosts.join(F.broadcast(prior))  # with a single row
-    return joined.select("source", "n", "failures", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
+    both = hosts.agg(F.sum("n").alias("docs"), F.sum("failures").alias("fails"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("failures") * F.col("failures") / F.col("n")).alias("sq")).first()
+    docs = max(1, both["docs"] or 0)
+    m = (both["fails"] or 0) / docs
+    spread, noise = (both["sq"] or 0.0) / docs - m * m, m * (1 - m) * both["hosts"] / docs
+    weight = min(max(m * (1 - m) / (spread - noise) - 1, 1.0), 10_000.0) if spread > noise else 10_000.0
+    rate = (F.col("failures") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
+    return hosts.select("source", "n", "failures", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
 
 
 def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE, salts: int = 16) -> DataFrame:
