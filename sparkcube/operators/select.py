@@ -161,6 +161,37 @@ def where_other(cube: Cube, query: str, other: Cube, test: Callable[[Column], Co
     return cube.with_df(cube.df.join(passing, axis.name, "left_semi"))
 
 
+def as_number(c: Column, kind: T.DataType) -> Column:
+    """Numbers, dates (days) and times (seconds) as doubles."""
+    if isinstance(kind, T.DateType):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6
+    return c.cast("double")
+
+
+def _with_nearest(df: DataFrame, column: str, axis: Axis, kind: T.DataType) -> DataFrame:
+    """Adds _at_<axis>: the label nearest to a column, by binary search in Arrow batches; of two as near, the smaller one."""
+    import numpy as np
+    import pandas as pd
+
+    ordered = sorted(axis.values)
+    if not ordered:
+        raise AxisError(f"axis {axis.name} is empty")
+    number = {T.DateType: lambda x: float(x.toordinal() - 719_163)}.get(type(kind), lambda x: x.timestamp() if hasattr(x, "timestamp") else float(x))
+    if isinstance(kind, T.TimestampNTZType):
+        import datetime
+
+        number = lambda x: (x - datetime.datetime(1970, 1, 1)).total_seconds()
+    at = np.array([number(v) for v in ordered])
+    middle = (at[1:] + at[:-1]) / 2
+    place = F.pandas_udf(lambda x: pd.Series(np.searchsorted(middle, x.to_numpy(), side="left")).where(x.notna().to_numpy()).astype("Int64"), "long")
+    schema = T.StructType([T.StructField("_place", T.LongType()), T.StructField(f"_at_{axis.name}", kind)])
+    labels = df.sparkSession.createDataFrame(list(enumerate(ordered)), schema)
+    labels = F.broadcast(labels) if len(ordered) <= BROADCAST_ROWS else labels
+    return df.withColumn("_place", place(as_number(F.col(column), df.schema[column].dataType))).join(labels, "_place").drop("_place")
+
+
 def extract_points(cube: Cube, points: DataFrame, point_key: str | None = None) -> Cube:
     """Values at scattered points: columns of `points` that match axes are replaced by the nearest labels, the cube is joined to
     them, and the points take the matched axes' place: as axis `point_key` if there is such a column, else as one named a_b whose
@@ -168,20 +199,9 @@ def extract_points(cube: Cube, points: DataFrame, point_key: str | None = None)
     matched = [(c, a) for c in points.columns if c != point_key and (a := find_axis(cube.axes, c)) is not None]
     if not matched:
         raise AxisError("no column of the points matches an axis")
-    spark, df = cube.df.sparkSession, points
+    df = points
     for c, axis in matched:
-        # each label's cell reaches half-way to its neighbours; a sorted table of cells answers "nearest" by binary search
-        ordered = sorted(axis.values)
-        edges = [(a + (b - a) / 2) for a, b in zip(ordered, ordered[1:])]
-        kind = cube.df.schema[axis.name].dataType
-        cells = [(lo, hi, v) for lo, hi, v in zip([None, *edges], [*edges, None], ordered)]
-        schema = T.StructType([T.StructField("_lo", points.schema[c].dataType), T.StructField("_hi", points.schema[c].dataType), T.StructField(f"_at_{axis.name}", kind)])
-        # points are resolved by distinct coordinate: one range probe each, against a table of labels of checked size
-        frame = spark.createDataFrame(cells, schema)
-        frame = F.broadcast(frame) if len(cells) <= BROADCAST_ROWS else frame
-        inside = (F.col("_lo").isNull() | (F.col(c) > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col(c) <= F.col("_hi")))
-        distinct = points.select(c).distinct().join(frame, inside).select(c, f"_at_{axis.name}")
-        df = df.join(distinct, c)
+        df = _with_nearest(df, c, axis, cube.df.schema[axis.name].dataType)
     names = [a.name for _, a in matched]
     if point_key is None:
         point_key = "_".join(c for c, _ in matched)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkcube.axes import Axis, AxisError, IntervalLabel
 from sparkcube.cube import Cube
 from sparkcube.functions.nulls import REDUCERS
+from sparkcube.operators.select import as_number
 from sparkcube.plans.axismap import apply_map
 
 #: Reducers that give the same over axis after axis; mean goes through sum and count.
@@ -129,8 +130,7 @@ def fill_gaps(cube: Cube, dim: str, limit_to_inside: bool = False) -> Cube:
     axis = cube.axis(dim)
     dense = cube.densify()
     x = F.col(axis.name)
-    kind = dense.df.schema[axis.name].dataType.simpleString()
-    at = F.datediff(x, F.lit("1970-01-01").cast("date")).cast("double") if kind == "date" else F.unix_micros(x.cast("timestamp")).cast("double") if kind.startswith("timestamp") else x.cast("double")
+    at = as_number(x, dense.df.schema[axis.name].dataType)
     w = Window.partitionBy(*cube.others(axis.name)).orderBy(_place(axis))
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     there = F.when(dense.v.isNotNull(), at)
