@@ -46,3 +46,10 @@ def posix_dir(spark: SparkSession, label: str) -> str:
     if "://" in path:
         raise ValueError(f"{path}: memory-mapped models need a mounted shared folder in spark.checkpoint.dir")
     return path
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables and arrays that the operators have written to the shared folder; results that still read them are lost."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkcube")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
