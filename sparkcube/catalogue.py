@@ -386,6 +386,14 @@ def table_two_keys(spark, sf):
     return _out(group.table_fit(t, "total", {"region": F.col("region"), "yr": F.col("yr")}), "value", 6)
 
 
+@query('SELECT r_name AS "Region", CAST(floor(yr / 2) AS BIGINT) AS "Category2", round(avg(total), 6) AS value FROM S JOIN M USING (nation) JOIN region ON r_regionkey = region GROUP BY 1, 2')
+def table_labelled_groups(spark, sf):
+    names = {r["r_regionkey"]: r["r_name"] for r in _table(spark, sf, "region").collect()}  # one row a region
+    mask = regions(spark, sf)
+    mask = mask.with_df(mask.df, props={"labels": names, "name": "Region"})
+    return _out(group.fit_cubes({"total": sales(spark, sf), "mask": mask}, "total", ["mask", lambda t: F.floor(t["yr"] / 2)]), "value", 6)
+
+
 @query("SELECT region AS \"group\", yr, segment, round(avg(total), 6) AS total FROM S JOIN M USING (nation) GROUP BY 1, 2, 3")
 def group_by_cube(spark, sf):
     return _out(group.group_by_cube(sales(spark, sf), regions(spark, sf)), "total", 6)

@@ -219,6 +219,9 @@ class Cube:
 
         return reduce_cube(self, how, *dims, strict=strict, filter=filter)
 
+    def cache(self) -> Cube:
+        return self.compute()
+
     def compute(self) -> Cube:
         """Held in memory, spilling to disk."""
         return self.with_df(self.df.persist())

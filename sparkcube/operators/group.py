@@ -101,6 +101,34 @@ def table_fit(df: DataFrame, value: str, by: Mapping[str, Column], how: str | Ca
     return cube.densify() if axes and set(axes) == set(by) else cube
 
 
+def fit_cubes(cubes: Mapping[str, Cube], variable: str, by: Sequence[str | Callable[[DataFrame], Column]], how: str | Callable[[Column], Column] = "mean", weight: Callable[[DataFrame], Column] | None = None) -> Cube:
+    """A statistic of one of several cubes, joined on the axes that they share, per key.
+
+    Keys: an axis (all its labels stay, missing where nothing falls); a variable, by its values, or, if its properties have `labels`
+    (value to label), by those, under the property `name`; or a function of the joined table, as Category1, Category2, ...
+    """
+    from sparkcube.operators.align import cube_table, union_axes
+
+    table = cube_table(**cubes)
+    known = {a.name: a for a in union_axes(list(cubes.values()))}
+    keys: dict[str, Column] = {}
+    axes: dict[str, Axis] = {}
+    for i, k in enumerate(by, 1):
+        if callable(k):
+            keys[f"Category{i}"] = k(table)
+        elif k in known:
+            keys[k], axes[k] = F.col(k), known[k]
+        else:
+            labels = cubes[k].props.get("labels")
+            if labels is None:
+                keys[k] = F.col(k)
+                continue
+            name = cubes[k].props.get("name", "Label")
+            keys[name] = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[F.col(k)]
+            axes[name] = Axis(name, tuple(labels.values()))
+    return table_fit(table, variable, keys, how, weight(table) if weight else None, axes)
+
+
 def counter(cube: Cube, expected: Sequence[Any] | None = None) -> Cube:
     """How often each value occurs; expected values that don't occur count 0."""
     found = cube.df.where(cube.v.isNotNull()).groupBy(cube.v.alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -24,13 +24,15 @@ from sparkcube.plans.axismap import type_of
 
 @dataclass(frozen=True)
 class InDims:
-    """The axes that a function consumes, and which slices it skips."""
+    """The axes that a function consumes, which slices it skips, and what a slice is turned into (pandas.Series, list; an array by default)."""
 
     axes: tuple[str, ...]
     filter: SliceFilter = ALL_MISSING
+    artype: Callable[[np.ndarray], Any] | None = None
 
-    def __init__(self, *axes: str, filter: Any = ALL_MISSING):
+    def __init__(self, *axes: str, filter: Any = ALL_MISSING, artype: Callable[[np.ndarray], Any] | None = None):
         object.__setattr__(self, "axes", axes)
+        object.__setattr__(self, "artype", artype)
         object.__setattr__(self, "filter", combine(filter))
 
 
@@ -109,7 +111,7 @@ def map_cube(
     shapes = [tuple(len(a) for a in own) for own in inner]
     numeric = [c.dtype != "string" for c in cubes]
     out_shapes = [tuple(len(a) for a in own) for own in out_axes]
-    names = list(loop)
+    names, kinds = list(loop), [d.artype for d in ins]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -120,7 +122,8 @@ def map_cube(
                     flat = np.full(int(np.prod(shape)), np.nan if num else None, float if num else object)
                     for cell in row[len(names) + k]:
                         flat[cell["i"]] = cell["v"]
-                    slices.append(flat.reshape(shape) if shape else flat[0])
+                    cells = flat.reshape(shape) if shape else flat[0]
+                    slices.append(kinds[k](cells) if kinds[k] else cells)
                 given = [dict(zip(as_dict, slices))] if as_dict else slices
                 result = fn(*given, *([dict(zip(names, row[: len(names)]))] if include_loopvars else []), *args, **kwargs)
                 for k, (r, shape) in enumerate(zip(result if several else [result], out_shapes)):

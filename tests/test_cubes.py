@@ -177,6 +177,9 @@ def test_groups(spark, small):
     ash = group.average_shifted_histogram(small, 10, 8, "YVals").collect()
     assert len(ash) == 40 and all(r["Frequency"] >= 0 for r in ash)
     assert group.counter(small.map(lambda v: v % 3), [0, 1, 2, 7]).to_numpy().tolist() == [6, 7, 7, 0]
+    named = g.with_df(g.df, props={"labels": {1: "one", 2: "two", 3: "three"}, "name": "Class"})
+    fit = group.fit_cubes({"v": small, "g": named}, "v", ["g", "YVals"], "sum")
+    assert fit.dims == ("Class", "YVals") and np.allclose(fit.to_numpy(), [a[:2].sum(0), [np.nan] * 5, a[2:].sum(0)], equal_nan=True)
     days = [datetime.date(2020, 1, 1) + datetime.timedelta(days=31 * i) for i in range(24)]
     t = from_array(spark, np.arange(24.0), [Axis("time", days)])
     months = np.array([d.month for d in days])
@@ -200,6 +203,7 @@ def test_slice_functions(spark):
     ds = slices.map_cube(lambda d: d["p"].sum() - d["q"].sum(), Dataset({"p": ca, "q": ca * 2}), indims=slices.InDims("t"))
     assert np.allclose(ds.to_numpy(), -a.sum(1))
     assert np.allclose(slices.map_cube(lambda u, loop: loop["x"], ca, indims=slices.InDims("t"), include_loopvars=True).to_numpy(), [1, 2, 3, 4])
+    assert np.allclose(slices.map_cube(lambda u: sum(u), ca, indims=slices.InDims("t", artype=list)).to_numpy(), a.sum(1))
     assert slices.map_cube(lambda u: u.sum(), ca, indims=slices.InDims("x", "t")).df.first()["value"] == pytest.approx(a.sum())
     names = slices.map_cube(lambda u: "big" if u.max() > 0.9 else "small", ca, indims=slices.InDims("t"), outdims=slices.OutDims(outtype="string"))
     assert {r["value"] for r in names.df.collect()} <= {"big", "small"}
