@@ -25,6 +25,8 @@ from sparkcube.axes import Axis
 from sparkcube.cube import Cube, Dataset
 from sparkcube.sources.cf import decode_times, decode_values
 
+#: Attributes that reading uses up.
+PACKING = ("missing_value", "scale_factor", "add_offset")
 _TYPES = {"b1": T.BooleanType(), "i1": T.ByteType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "u1": T.ShortType(), "u2": T.IntegerType(), "u4": T.LongType(), "f4": T.FloatType(), "f8": T.DoubleType(), "f2": T.FloatType()}
 
 
@@ -150,7 +152,7 @@ def open_zarr(spark: SparkSession, path: str) -> Dataset:
             columns.append(_label(axes[d], at).alias(d))
         df = df.select(*columns, decode_values(F.col("value"), attrs).alias(n))
         chunks = dict(zip(dims[n], _json(f"{path}/{n}/.zarray")["chunks"]))
-        cubes[n] = Cube(df, tuple(axes[d] for d in dims[n]), n, {k: v for k, v in attrs.items() if not k.startswith("_")}, chunks)
+        cubes[n] = Cube(df, tuple(axes[d] for d in dims[n]), n, {k: v for k, v in attrs.items() if not k.startswith("_") and k not in PACKING}, chunks)
     return Dataset(cubes, {k: v for k, v in _json(f"{path}/.zattrs").items()})
 
 
@@ -178,3 +180,74 @@ def write_array(path: str, data: np.ndarray, chunks: Sequence[int], dims: Sequen
         raw = np.ascontiguousarray(block).tobytes()
         with open(f"{path}/{'.'.join(map(str, at))}", "wb") as f:
             f.write(zlib.compress(raw, 1) if compress else raw)
+
+
+def _chunk_writer(folder: str, sizes: Sequence[int], kind: str, fill: Any) -> Any:
+    n = len(sizes)
+
+    def store(table: pa.Table) -> pa.Table:
+        block = np.full(sizes, np.nan if fill == "NaN" else fill, np.dtype(kind))
+        block[tuple(table.column(f"o{i}").to_numpy() for i in range(n))] = table.column("v").to_numpy()
+        at = ".".join(str(table.column(f"c{i}")[0].as_py()) for i in range(n))
+        temporary = f"{folder}/{at}.{os.getpid()}.tmp"
+        with open(temporary, "wb") as f:
+            f.write(zlib.compress(np.ascontiguousarray(block).tobytes(), 1))
+        os.replace(temporary, f"{folder}/{at}")
+        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+
+    return store
+
+
+def save_zarr(ds: Dataset, path: str, overwrite: bool = False) -> Dataset:
+    """A dataset as a Zarr group, one task per chunk; the folder must be mounted on the workers. Variables without chunks get one.
+
+    Missing cells are NaN in floats and the attribute missing_value, or -9999, in whole numbers; chunks without cells aren't
+    written. Times are stored as days since 1980-01-01, intervals by their midpoints, other labels by value. Chunk files are put in place
+    whole, so a task may run again.
+    """
+    import datetime
+    import shutil
+
+    from sparkcube.axes import IntervalLabel
+    from sparkcube.sources.cf import ORIGIN, CFDate, encode_times
+    from sparkcube.sources.store import _position
+
+    if os.path.exists(path):
+        if not overwrite:
+            raise FileExistsError(path)
+        shutil.rmtree(path)
+    os.makedirs(path)
+    with open(f"{path}/.zgroup", "w") as f:
+        json.dump({"zarr_format": 2}, f)
+    with open(f"{path}/.zattrs", "w") as f:
+        json.dump(ds.props, f)
+    for a in ds.axes.values():
+        v = list(a.values)
+        if v and isinstance(v[0], (datetime.date, CFDate)):
+            extra, data = {"units": ORIGIN, "calendar": a.attrs.get("calendar", "standard")}, np.array(encode_times(v, a.attrs.get("calendar", "standard")))
+        elif v and isinstance(v[0], IntervalLabel):
+            extra, data = {}, np.array([x.left + (x.right - x.left) / 2 for x in v], float)
+        elif v and isinstance(v[0], str):
+            extra, data = {"_ARRAYVALUES": v}, np.arange(1, len(v) + 1)
+        else:
+            extra, data = {}, np.array(v)
+        write_array(f"{path}/{a.name}", data, (max(1, len(v)),), (a.name,), {**{k: x for k, x in a.attrs.items() if k not in extra and not k.startswith("_")}, **extra})
+    for name, cube in ds.cubes.items():
+        sizes = [int(cube.chunks.get(a.name, max(1, len(a)))) for a in cube.axes]
+        kind = {"tinyint": "<i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}[cube.dtype]
+        fill = "NaN" if kind[1] == "f" else int(cube.props.get("missing_value", -9999 if kind != "<i1" else -128))
+        folder = f"{path}/{name}"
+        os.makedirs(folder)
+        with open(f"{folder}/.zarray", "w") as f:
+            json.dump({"zarr_format": 2, "shape": list(cube.shape), "chunks": sizes, "dtype": kind, "compressor": {"id": "zlib", "level": 1}, "fill_value": fill, "order": "C", "filters": None}, f)
+        with open(f"{folder}/.zattrs", "w") as f:
+            json.dump({"_ARRAY_DIMENSIONS": list(cube.dims), **cube.props}, f)
+        places = [_position(a).cast("long") for a in cube.axes]
+        n = len(sizes)
+        cells = cube.df.where(cube.v.isNotNull()).select(
+            *[F.floor(p / s).alias(f"c{i}") for i, (p, s) in enumerate(zip(places, sizes))], *[(p % s).alias(f"o{i}") for i, (p, s) in enumerate(zip(places, sizes))], cube.v.alias("v")
+        )
+
+        store = _chunk_writer(folder, sizes, kind, fill)
+        cells.groupBy(*[f"c{i}" for i in range(n)]).applyInArrow(store, "n long").agg(F.sum("n")).collect()
+    return open_zarr(next(iter(ds.cubes.values())).df.sparkSession, path)

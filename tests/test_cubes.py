@@ -292,6 +292,10 @@ def test_zarr(spark, tmp_path):
     assert ds["v"].time.values[0] == datetime.date(2001, 1, 3) and ds["v"].band.values == ("One", "Two")
     assert np.allclose(ds["v"].to_numpy(), data[2:] * 2 + 1, equal_nan=True)
     assert ds["v"].df.rdd.getNumPartitions() == 6
+    again = zarr.save_zarr(Dataset({"v": combine.set_chunks(ds["v"], {"time": 4, "lat": 2}), "n": ds["v"].cast("int")}), str(tmp_path / "t.zarr"))
+    assert np.allclose(again["v"].to_numpy(), data[2:] * 2 + 1, equal_nan=True) and again["v"].time.values == ds["v"].time.values
+    assert again["v"].chunks == {"time": 4, "lat": 2, "band": 1} and again["v"].props == {"units": "K"}
+    assert again["n"].df.count() == 99
 
 
 def test_cf(spark):
