@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkcube.llm._text import SPACED, buffers, hashed, mix, owners, per_text, slices
 
-CAPACITY, SOURCE_LIMIT, BLOCK = 2048, 2, 4096
+CAPACITY, SOURCE_LIMIT, BLOCK = 2048, 4, 4096
 
 
 def best_fit(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[int], capacity: int = CAPACITY, limit: int = SOURCE_LIMIT) -> list[int]:
