@@ -30,8 +30,8 @@ SLICE = 2 << 20
 _NONE = np.iinfo(np.int64).max
 
 
-def _lines(part: pa.RecordBatch):
-    """Word hashes, and for each line of at least MIN_WORDS words: its text, number, first word and number of words."""
+def _lines(part: pa.RecordBatch, least: int = MIN_WORDS):
+    """Word hashes, and for each line of at least `least` words: its text, number, first word and number of words."""
     data, at = buffers(part.column("text"))
     h, starts, _, _ = hashed(data, at, SPACED)
     # a line is what stands between newlines, empty ones included in the numbering
@@ -40,7 +40,7 @@ def _lines(part: pa.RecordBatch):
     doc = np.searchsorted(at, ls, side="right") - 1
     number = newline[ls] - newline[at[doc]]
     w0, w1 = np.searchsorted(starts, ls), np.searchsorted(starts, le)
-    ok = w1 - w0 >= MIN_WORDS
+    ok = w1 - w0 >= least
     return h, doc[ok], number[ok], w0[ok], (w1 - w0)[ok], (data, at, ls[ok], le[ok])
 
 
@@ -81,13 +81,13 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("doc_id").fill_null(_NONE).to_numpy(zero_copy_only=False)
 
 
-def _instances(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, a, n, halves) of each text's first line of each kind."""
+def _instances(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, line, a, halves) of each text's first line of each kind; lines of fewer than MIN_WORDS words have null halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                h, doc, number, lo, n, _ = _lines(part)
+                h, doc, number, lo, n, _ = _lines(part, least)
                 s, ids = _Sequences(h), _ids(part)
                 a = s.of(lo, n)
                 keep = _first_in_text(doc, a) & (ids[doc] != _NONE)
@@ -97,7 +97,7 @@ def _instances(docs: DataFrame) -> DataFrame:
                     k, tag = short // 2, mix(short.astype(np.uint64) + np.uint64(77))
                     halves += [mix(s.of(lo, k) ^ tag), mix(s.of(lo + n - k, k) ^ tag ^ np.uint64(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[doc], number.astype(np.int32), a.view(np.int64), *(x.view(np.int64) for x in halves))], names=["doc_id", "line", "a", "h1", "h2", "h3", "h4"]
+                    [pa.array(x) for x in (ids[doc], number.astype(np.int32), a.view(np.int64))] + [pa.array(x.view(np.int64), mask=n < MIN_WORDS) for x in halves], names=["doc_id", "line", "a", "h1", "h2", "h3", "h4"]
                 )
 
     return docs.mapInArrow(run, "doc_id long, line int, a long, h1 long, h2 long, h3 long, h4 long")
@@ -197,18 +197,13 @@ def _decided(rows: DataFrame) -> DataFrame:
     return rows.repartition("v").sortWithinPartitions("v", "v2", "pos", "doc_id", "line").mapInArrow(run, "a long")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the new text, and n_lines, n_equal and n_near: lines, and those removed as equal or as near copies.
-
-    Order is by doc_id, then line. A line goes if an equal one stands before it, or if its kind's first occurrence has a line within
-    one word edit before it. Rows that repeat a doc_id don't remove each other's lines; rows with a null doc_id lose only lines that
-    repeat in their own text. Null texts stay null with 0 lines; empty texts, lines of fewer than MIN_WORDS words and the order of
-    what stays are untouched; an empty table gives no rows. Existing columns of the names added are replaced.
-    """
+def _deduped(docs: DataFrame, least: int) -> DataFrame:
+    """dedup_lines() with a column _repeat: a line was removed, and every line of at least `least` words that stays has an equal one in
+    an earlier document or before it in its text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    instances = written(_instances(texts), "lines")
+    instances = written(_instances(texts, least), "lines")
     kinds = instances.groupBy("a").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    keys = instances.select(F.explode(F.array("h1", "h2", "h3", "h4")).alias("key"), "a").distinct()
+    keys = instances.where("h1 is not null").select(F.explode(F.array("h1", "h2", "h3", "h4")).alias("key"), "a").distinct()
     sieved = written(_sharing(keys).join(kinds, "a").select("a", "first"), "sieved")
     folder, bits = write_sorted(sieved, "a", "first", "sieved-files")
     variants = written(_variants(texts, folder, bits), "variants")
@@ -217,7 +212,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = written(gone.groupBy("a").agg(F.min("first").alias("first")), "gone")
     to, to_bits = write_sorted(gone, "a", "first", "gone-files")
 
-    added = ("n_lines", "n_equal", "n_near")
+    added = ("n_lines", "n_equal", "n_near", "_repeat")
     kept = docs.drop(*added).withColumn("text", F.col("text").cast("string"))
     names = kept.columns
     id_at = next(i for i, c in enumerate(names) if c.lower() == "doc_id")
@@ -228,14 +223,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, names[text_at], SLICE):
                 view = pa.RecordBatch.from_arrays([part.column(id_at).cast(pa.int64()), part.column(text_at)], names=["doc_id", "text"])
-                h, doc, _, lo, n, (data, at, ls, le) = _lines(view)
+                h, doc, _, lo, n, (data, at, ls, le) = _lines(view, least)
                 ids = _ids(view)
                 a = _Sequences(h).of(lo, n)
                 first, known = _first_in_text(doc, a), ids[doc] != _NONE
                 before = files.get(a, _NONE)
                 low = np.iinfo(np.int64).min
                 near_copy = first & known & (before == low) & (ids[doc] != low)
-                equal = ~first | (known & ~near_copy & (before < ids[doc]))
+                again = ~first | (known & ~near_copy & (before < ids[doc]))
+                equal = again & (n >= MIN_WORDS)
                 out = equal | near_copy
                 texts, has = part.column(text_at).to_pylist() if out.any() else None, part.column(text_at).is_valid()
                 newlines = np.concatenate([[0], np.cumsum(data == 10)])
@@ -259,14 +255,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                     column = pa.array(texts, pa.string())
                 columns = [c if i != text_at else column for i, c in enumerate(part.columns)]
                 count = lambda x: pa.array(np.bincount(doc[x], minlength=part.num_rows).astype(np.int64))  # noqa: B023,E731
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines.astype(np.int64)), count(equal), count(near_copy)], names=[*names, *added])
+                repeat = np.bincount(doc[out], minlength=part.num_rows) > 0
+                repeat[doc[~(again | near_copy)]] = False
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines.astype(np.int64)), count(equal), count(near_copy), pa.array(repeat)], names=[*names, *added])
 
-    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, T.BooleanType() if c == "_repeat" else T.LongType()) for c in added)])
     return kept.mapInArrow(rewrite, schema)
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of docs with the new text, and n_lines, n_equal and n_near: lines, and those removed as equal or as near copies.
+
+    Order is by doc_id, then line. A line goes if an equal one stands before it, or if its kind's first occurrence has a line within
+    one word edit before it. Rows that repeat a doc_id don't remove each other's lines; rows with a null doc_id lose only lines that
+    repeat in their own text. Null texts stay null with 0 lines; empty texts, lines of fewer than MIN_WORDS words and the order of
+    what stays are untouched; an empty table gives no rows. Existing columns of the names added are replaced.
+    """
+    return _deduped(docs, MIN_WORDS).drop("_repeat")
+
+
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents with their new texts; those that lost lines and have no word left are dropped."""
-    found = dedup_lines(docs)
-    lost = (F.col("n_equal") + F.col("n_near") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return found.where(~lost).select(*docs.columns)
+    """The documents with their new texts, but for those that lost lines and have none left of their own: each line of words that stays
+    (it has fewer than MIN_WORDS) has an equal one in an earlier document or before it. The first document of a line never goes.
+    """
+    return _deduped(docs, 1).where("not _repeat").select(*docs.columns)

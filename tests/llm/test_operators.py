@@ -432,3 +432,13 @@ def test_line_dedup(docs, empty):
     assert kept.columns == docs.columns
     assert rows_of(kept, "doc_id", "text") == sorted([w[:2] for w in want if not (w[3] + w[4] and not words(w[1]))], key=repr)
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_line_dedup_drops_what_only_repeats(spark):
+    """A later copy goes with its short lines, which stay in the text; a short line of its own, or nothing removed, keeps a document."""
+    long, short = " ".join(f"w{i}" for i in range(20)), "Licensed under the Apache License, Version 2.0."
+    texts = [f"{long}\n{short}\n{short}", f"{short}\n{long}\n\n{short}", f"{long}\n{short}\nwords of its own", short, f"{long} more\n{short}", f"{short}\n{long}"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    assert rows_of(line_dedup.dedup_lines(df), "doc_id", "n_equal", "n_near") == sorted([(0, 0, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 1), (5, 1, 0), (None, 0, 0)], key=repr)
+    want = [(0, texts[0]), (2, f"{short}\nwords of its own"), (3, short), (None, texts[0])]
+    assert rows_of(line_dedup.drop_repeated_lines(df), "doc_id", "text") == sorted(want, key=repr)
