@@ -442,3 +442,14 @@ def test_line_dedup_drops_what_only_repeats(spark):
     assert rows_of(line_dedup.dedup_lines(df), "doc_id", "n_equal", "n_near") == sorted([(0, 0, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 1), (5, 1, 0), (None, 0, 0)], key=repr)
     want = [(0, texts[0]), (2, f"{short}\nwords of its own"), (3, short), (None, texts[0])]
     assert rows_of(line_dedup.drop_repeated_lines(df), "doc_id", "text") == sorted(want, key=repr)
+
+
+def test_bands_miss_as_seldom_as_independent_ones():
+    assert len(np.unique(near_dedup._CHOICE)) == near_dedup._CHOICE.size == near_dedup.BANDS * near_dedup.BAND_ROWS
+    rng, missed, pairs = np.random.default_rng(2), 0, 300_000
+    p = 1 - 2 * float(near_dedup._p(np.array(0.5 - 0.5 * 0.8)))  # two sets of equal size and similarity 0.8 agree in a register
+    for _ in range(pairs // 20_000):
+        a = rng.integers(0, 128, (20_000, near_dedup.REGISTERS), dtype=np.uint8)
+        b = np.where(rng.random(a.shape) < p, a, a + np.uint8(128))
+        missed += int((near_dedup.band_keys(a) != near_dedup.band_keys(b)).all(axis=1).sum())
+    assert missed < 10 * pairs * (1 - p**near_dedup.BAND_ROWS) ** near_dedup.BANDS
