@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -53,3 +54,46 @@ def discard(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkcube")
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key is hot when it has more than one in HOT of all rows, so there are fewer than HOT hot keys, whatever the data.
+HOT = 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of left with right, which has one narrow row per key and, in `rows`, how many rows left has of it (total: in all).
+
+    Hot keys, fewer than HOT, are broadcast, so their rows stay where they are; the others are joined by shuffle. left is read twice.
+    """
+    hot = right.where(F.col(rows) > max(1, total) / HOT)
+    names = [F.col(c).alias(f"_hot_{c}") for c in on]
+    matched = left.join(F.broadcast(hot), on)
+    same = [left[c] == F.col(f"_hot_{c}") for c in on]
+    rest = left.join(F.broadcast(hot.select(*names)), same, "left_anti").join(right, on)
+    return matched.unionByName(rest)
+
+
+def join_salted(pairs: DataFrame, side: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
+    """pairs with the columns of side (by its column of the name in `key`), where some keys have very many pairs: hot_keys(pairs, key).
+
+    A hot key's pairs are spread by a hash of their `other`, and its rows of side are repeated for each part.
+    """
+    hot = F.broadcast(hot)
+    left = pairs.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("_salts")), F.lit(0))).drop("_salts")
+    right = side.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0).cast("long"))))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def hot_keys(pairs: DataFrame, key: str, least: int = 5_000) -> DataFrame:
+    """(key, _salts): the fewer than HOT keys with more than `least` pairs and one in HOT of all, and in how many parts to cut them."""
+    limit = max(least, pairs.count() / HOT)
+    return pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / limit).alias("_salts")).where("_salts > 1")
+
+
+#: Ids that are broadcast at most (about 32 bytes each); beyond, rows are matched with ids by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids to be broadcast if they are few; the count reads them, so they should be a written table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -3,28 +3,31 @@
 A register of a set is floor(1 - log_b x) of the minimum x of exponential hash values (rate RATE) over its elements, truncated to
 0..255: registers of a union are the maxima, and two sets agree in a register about as often as they are similar.
 
-1. One pass over the texts gives each document its set size, a 128-bit fingerprint of its shingle set and its registers.
-2. Documents of equal sets form a class, which goes on as its smallest doc_id. (A third of all rows may be one class: it is
-   reduced before the shuffle.)
-3. Bands hash BAND_ROWS registers each; class members that share a band form a bucket. In a bucket, every member is linked to the
+1. One pass over the texts gives each document its set size, a 128-bit digest (BLAKE2b) of its words and its registers.
+2. Documents of equal words form a class, which goes on as its smallest doc_id. (A third of all rows may be one class: it is
+   reduced before the shuffle, and its members never leave their tasks, see join_skewed.)
+3. Bands hash BAND_ROWS registers each; classes that share a band form a bucket. In a bucket, every member is linked to the
    smallest one only: as many pairs as members. Pairs whose joint likelihood estimate is far too low are left out, the rest are
-   verified on the full shingle sets of the texts, and components are formed.
-4. Buckets that still hold several components are compared across components, in blocks of bounded size, on registers; what may
-   be a link is verified as well. So no link between components is lost to step 3, and none inside one is needed.
+   verified on the words of the full texts, and components are formed.
+4. Buckets that still hold several components are compared across components, by levels of size (sets of unlike sizes aren't
+   similar) and in blocks of bounded size, on registers; what may be a link is verified as well. So no link between components
+   is lost to step 3, and none inside one is needed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcube.llm._shared import written
-from sparkcube.llm._text import FOLD, SPACED, buffers, hashed, mix, owners, slices, windows
+from sparkcube.llm._shared import hot_keys, join_salted, join_skewed, small, written
+from sparkcube.llm._text import FOLD, SPACED, buffers, hashed, mix, owners, released, slices, window_codes, windows, word_codes
 from sparkcube.llm.components import connected_components
 
 REGISTERS, BASE, RATE = 128, 1.1, 20.0
@@ -32,7 +35,7 @@ REGISTERS, BASE, RATE = 128, 1.1, 20.0
 #: a similarity of 0.8, 93 at 0.81 and none at 0.85 (where 2 are expected).
 BANDS, BAND_ROWS = 25, 5
 #: Members of a block of a large bucket; a task compares two blocks at a time.
-BLOCK = 256
+BLOCK = 2048
 #: Pairs are left unverified only this many standard deviations below the threshold.
 MARGIN = 6.0
 
@@ -42,10 +45,8 @@ _SHIFTS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64)
 _CHOICE = _rng.permutation(REGISTERS)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingle hashes of each text, sorted within it, and each text's first one."""
-    h, _, _, to = hashed(data, at, SPACED, fold=True)
-    w, _, wat = windows(h, to, k)
+def _sets(w: np.ndarray, wat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each text's run of w, sorted within it, and each text's first one."""
     own = owners(wat)
     order = np.lexsort((w, own))
     w, own = w[order], own[order]
@@ -55,6 +56,19 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     return w, np.searchsorted(own, np.arange(len(at)))
 
 
+def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-word shingle hashes of each text, sorted within it, and each text's first one."""
+    h, _, _, to = hashed(data, at, SPACED, fold=True)
+    w, _, wat = windows(h, to, k)
+    return _sets(w, wat, at)
+
+
+def exact_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets(), but of numbers that are equal for shingles of the same words only, within this call."""
+    h, starts, ends, to = hashed(data, at, SPACED, fold=True)
+    return _sets(*window_codes(word_codes(FOLD[data], starts, ends, h), to, k), at)
+
+
 def registers(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(texts, REGISTERS) uint8. An empty set has zeros."""
     out = np.zeros((len(at) - 1, REGISTERS), np.uint8)
@@ -125,22 +139,33 @@ def _fixed(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
 
 
+@lru_cache(None)
+def _fewest_equal(percent: int) -> int:
+    """Equal registers without which no pair reaches the threshold by _may_link(), whatever the sizes it allows (a grid of them, less 2)."""
+    g, l = (x.ravel() for x in np.meshgrid(np.arange(REGISTERS + 1), np.arange(REGISTERS + 1)))
+    g, l = g[g + l <= REGISTERS], l[g + l <= REGISTERS]
+    fewest = REGISTERS
+    for ratio in np.linspace(percent / 100, 1, 16):
+        ok = estimate(g, l, np.full(len(g), 1e6), np.full(len(g), 1e6 * ratio)) >= _least(percent)
+        fewest = min(fewest, int((REGISTERS - g - l)[ok].min(initial=REGISTERS)))
+    return max(0, fewest - 2)
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, fa, fb, regs) of every row, in one pass without a shuffle."""
+    """(doc_id, n_shingles, fa, fb, regs) of every row, in one pass without a shuffle; fa and fb: a digest of the words, A-Z folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+        for batch in released(batches):
+            for part in slices(batch, "text"):
                 data, at = buffers(part.column("text"))
                 sets, to = shingle_sets(data, at, k)
                 regs = registers(sets, to)
-                a, b = (np.zeros(len(to) - 1, np.uint64) for _ in range(2))
-                some = to[1:] > to[:-1]
-                if some.any():  # sums of mixed members: the same for equal sets only, whatever their order
-                    a[some] = np.add.reduceat(mix(sets), to[:-1][some])
-                    b[some] = np.add.reduceat(mix(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), to[:-1][some])
+                raw = FOLD[data].tobytes()
+                # split() parts at the very characters that part words here
+                digest = b"".join(hashlib.blake2b(b" ".join(raw[x:y].split()), digest_size=16).digest() for x, y in zip(at[:-1], at[1:]))
+                a, b = np.frombuffer(digest, np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(to)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    [part.column("doc_id"), pa.array(np.diff(to)), pa.array(a.copy()), pa.array(b.copy()), pa.array([r.tobytes() for r in regs], pa.binary())],
                     names=["doc_id", "n_shingles", "fa", "fb", "regs"],
                 )
 
@@ -173,73 +198,104 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
+    both = join_salted(pairs.join(side("b"), "b"), side("a"), "a", "b", hot_keys(pairs, "a"))
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold: 100 * intersection >= percent * union."""
+    """The pairs (a written table) whose full shingle sets reach the threshold: 100 * intersection >= percent * union, told by the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for half in slices(batch, "ta", 2 << 20):
-                for part in slices(half, "tb", 2 << 20):
-                    (sa, ia), (sb, ib) = (shingle_sets(*buffers(part.column(c)), k) for c in ("ta", "tb"))
-                    ok = np.zeros(part.num_rows, bool)
-                    for r in range(part.num_rows):
-                        x, y = sa[ia[r] : ia[r + 1]], sb[ib[r] : ib[r + 1]]
+        for batch in released(batches):
+            for half in slices(batch, "ta", 1 << 20):
+                for part in slices(half, "tb", 1 << 20):
+                    n, one = part.num_rows, [buffers(part.column(c)) for c in ("ta", "tb")]
+                    data, at = np.concatenate([one[0][0], one[1][0]]), np.concatenate([one[0][1][:-1], one[1][1] + one[0][1][-1]])
+                    sets, to = exact_sets(data, at, k)
+                    ok = np.zeros(n, bool)
+                    for r in range(n):
+                        x, y = sets[to[r] : to[r + 1]], sets[to[n + r] : to[n + r + 1]]
                         both = len(np.intersect1d(x, y, assume_unique=True))
                         ok[r] = 100 * both >= percent * (len(x) + len(y) - both) and both > 0
                     yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")).where("_id is not null")
+    ids = written(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "paired")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")).join(small(ids), "_id", "left_semi")
     first = pairs.join(texts, pairs["b"] == texts["_id"]).select("a", "b", F.col("_t").alias("tb"))
-    both = first.join(texts, first["a"] == texts["_id"]).select("a", "b", F.col("_t").alias("ta"), "tb")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    both = join_salted(first, texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a", "b", hot_keys(pairs, "a"))
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket but of different components that may be links. Each key (bucket, block, block) is a run of rows.
+    """(a, b): pairs of one bucket but of different components that may be links. Each cell (bucket, x, y) holds the members of block x
+    and of block y, or of one block if they are the same.
 
-    Rows come sorted by key within a partition, so a run is held and compared on its own: at most two blocks of BLOCK members.
+    Rows come sorted by cell within a partition, so a cell is held and compared on its own: at most two blocks of about BLOCK members.
     """
+    fewest = _fewest_equal(percent)
+
+    def pairs(cell):
+        """The cell's pairs, some rows of the matrix at a time."""
+        _, ids, side, label, n, regs = cell
+        own = cell[0][0, 1] == cell[0][0, 2]
+        left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min()))
+        columns = np.ascontiguousarray(regs[right].T)
+        for lo in range(0, len(left), 256):
+            i = left[lo : lo + 256]
+            ok = label[i][:, None] != label[right][None, :]
+            ok &= 100 * np.minimum(n[i][:, None], n[right][None, :]) >= percent * np.maximum(n[i][:, None], n[right][None, :])
+            if own:
+                ok &= i[:, None] < right[None, :]
+            if ok.any():
+                equal = np.zeros(ok.shape, np.uint8)
+                for r in range(REGISTERS):
+                    equal += regs[i, r][:, None] == columns[r][None, :]
+                x, y = np.nonzero(ok & (equal >= fewest))
+                x, y = i[x], right[y]
+                for s in range(0, len(x), 1 << 15):
+                    u, v = x[s : s + (1 << 15)], y[s : s + (1 << 15)]
+                    fine = _may_link(regs[u], regs[v], n[u], n[v], percent)
+                    a, b = ids[u[fine]], ids[v[fine]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(key, ids, side, label, n, regs):
-            out = [], []
-            edges = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-            for lo, hi in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])):
-                own = key[lo, 1] == key[lo, 2]
-                i, j = np.triu_indices(hi - lo, 1) if own else np.nonzero(np.subtract.outer(side[lo:hi], side[lo:hi]) < 0)
-                i, j = i + lo, j + lo
-                keep = label[i] != label[j]
-                i, j = i[keep], j[keep]
-                for s in range(0, len(i), 1 << 15):
-                    x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-                    ok = _may_link(regs[x], regs[y], n[x], n[y], percent)
-                    out[0].append(ids[x[ok]])
-                    out[1].append(ids[y[ok]])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
         held = None
-        for batch in batches:
+        for batch in released(batches):
             if not batch.num_rows:
                 continue
             column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023,E731
-            now = [np.stack([column("key"), column("x"), column("y")], axis=1), *(column(c) for c in ("doc_id", "block", "label", "n_shingles")), _fixed(batch.column("regs"))]
+            now = [np.stack([column("key"), column("x"), column("y")], axis=1), *(column(c) for c in ("doc_id", "side", "label", "n_shingles")), _fixed(batch.column("regs"))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
-            # the last run may go on in the next batch
-            other = np.flatnonzero(np.any(now[0] != now[0][-1], axis=1))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield pairs(*(x[:cut] for x in now))
-            held = [x[cut:] for x in now]
+            cuts = np.concatenate([[0], np.flatnonzero(np.any(now[0][1:] != now[0][:-1], axis=1)) + 1, [len(now[0])]])
+            for lo, hi in zip(cuts[:-2], cuts[1:-1]):
+                yield from pairs([x[lo:hi] for x in now])
+            held = [x[cuts[-2] :] for x in now]  # the last cell may go on in the next batch
         if held is not None:
-            yield pairs(*held)
+            yield from pairs(held)
 
     rows = members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.select("key", "x", "y", "doc_id", "block", "label", "n_shingles", "regs").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "x", "y", "doc_id", "side", "label", "n_shingles", "regs").mapInArrow(run, "a long, b long").distinct()
+
+
+def _cells(open_members: DataFrame, percent: int) -> DataFrame:
+    """The members (key, doc_id, n_shingles, ...) of open buckets, each once for every cell (key, x, y) that it has a part in.
+
+    Levels are logarithms of the size to the base of the threshold: sets two levels apart can't reach it. A level of a bucket is cut
+    into blocks by a hash; blocks meet those of their own level and of the next one.
+    """
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(max(-math.log(percent / 100), 1e-9) * (1 + 1e-9))).cast("long")
+    members = written(open_members.withColumn("level", level), "open-members")
+    sizes = written(members.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.count(F.lit(1)).alias("rows")), "open-levels")
+    near = lambda by, name: sizes.select("key", (F.col("level") + by).alias("level"), F.col("blocks").alias(name))
+    sizes = sizes.join(near(-1, "above"), ["key", "level"], "left").join(near(1, "below"), ["key", "level"], "left").na.fill(0, ["above", "below"])
+    placed = join_skewed(members, sizes, ["key", "level"], "rows", members.count()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # a block's number: its level and place; cells are named by their lower and their higher block
+    number = lambda level, place: F.col("level") * F.lit(1 << 24) + level * F.lit(1 << 24) + place
+    others = lambda count, by: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), lambda i: number(F.lit(by), i))).otherwise(F.array().cast("array<bigint>"))
+    placed = placed.withColumn("own", number(F.lit(0), F.col("block")))
+    placed = placed.withColumn("other", F.explode(F.concat(others("blocks", 0), others("above", 1), others("below", -1))))
+    return placed.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "side": F.col("own")})
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -251,42 +307,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     with nothing, has a null component_id and is kept. An empty table gives no rows; other columns are ignored.
     """
     sketches = written(sketch(docs, k), "sketches")
-    classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("fa", "fb", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    classes = written(classes, "classes")
-    key = classes.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), F.col("n_shingles").alias("_n"), "rep")
+    linkable = sketches.where("n_shingles > 0 and doc_id is not null")
+    classes = written(linkable.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    key = classes.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), "rep")
     # joined by doc_id, so that the rows of a large class are spread
-    is_rep = (sketches["doc_id"] == key["rep"]) & (sketches["fa"] == key["_fa"]) & (sketches["fb"] == key["_fb"]) & (sketches["n_shingles"] == key["_n"])
-    reps = written(sketches.join(key, is_rep).select("doc_id", "n_shingles", "regs"), "representatives")
-    same = sketches.select("doc_id", "fa", "fb", "n_shingles").join(classes.where("rows > 1"), ["fa", "fb", "n_shingles"]).where("doc_id is not null").select(F.col("rep").alias("v"), F.col("doc_id").alias("u"))
-
-    banded = _banded(reps)
+    is_rep = (sketches["doc_id"] == key["rep"]) & (sketches["fa"] == key["_fa"]) & (sketches["fb"] == key["_fb"])
+    reps = written(sketches.join(key, is_rep).select("doc_id", "n_shingles", "regs").distinct(), "representatives")
+    placed = written(join_skewed(linkable.select("doc_id", "fa", "fb"), classes, ["fa", "fb"], "rows", sketches.count()).select("doc_id", "rep"), "placed")
+    # rows of one doc_id in several classes link these
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("_top")).where("u < _top").select("doc_id", "u")
+    same = written(placed.join(several, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct(), "repeated-ids")
+
+    n_reps = reps.count()
+    banded = written(_banded(reps), "bands")
     shared = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).where("a < z")
-    buckets = written(banded.join(shared.select("key", "a", "n"), "key"), "buckets")
-    stars = buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    shared = written(shared.select("key", "a", "n"), "shared-bands")
+    buckets = written(join_skewed(banded, shared, ["key"], "n", n_reps * BANDS), "buckets")
+    stars = written(buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "stars")
     tried = written(_estimated(stars, reps, percent), "pairs")
     links = written(_verified(tried, docs, k, percent), "star-links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    labelled = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = buckets.select("key", "n", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = written(labelled, "labelled-buckets")
     open_ = labelled.groupBy("key", "n").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.sum(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("t")
     )
     # buckets of the same members are compared once; two members were compared by their star already
-    open_ = open_.where("lo < hi and n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key"))
-    again = labelled.join(open_.select("key"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    again = again.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).join(reps, "doc_id")
-    more = _across(again.select("key", "x", "y", "doc_id", "block", "label", "n_shingles", "regs"), percent).join(tried, ["a", "b"], "left_anti")
+    open_ = written(open_.where("lo < hi and n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key", "n"), "open-buckets")
+    again = join_skewed(labelled.select("key", "doc_id", "label"), open_, ["key"], "n", n_reps * BANDS).join(reps, "doc_id")
+    cells = _cells(again.select("key", "doc_id", "label", "n_shingles", "regs"), percent)
+    more = _across(cells, percent).join(tried, ["a", "b"], "left_anti")
     links = links.union(_verified(written(more, "more-pairs"), docs, k, percent))
 
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same.select("u", "v")))
-    labels = labels.select(F.col("node").alias("_node"), "label")
-    out = sketches.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("_node"), "left")
+    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))
+    labels = labels.select(F.col("node").alias("rep"), "label")
+    # several classes may have one rep, by repeated ids
+    ends = classes.groupBy("rep").agg(F.sum("rows").alias("rows")).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    found = join_skewed(placed, written(ends, "labels"), ["rep"], "rows", sketches.count()).groupBy("doc_id").agg(F.min("label").alias("label"))
+    out = sketches.select("doc_id", "n_shingles").join(found.select(F.col("doc_id").alias("_node"), "label"), F.col("doc_id") == F.col("_node"), "left")
     out = out.withColumn("component_id", F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are near-duplicates of a kept one: of each component, the rows of its smallest doc_id stay."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = written(near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
+    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
