@@ -30,8 +30,10 @@ def load(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
-def write_sorted(df: DataFrame, key: str, value: str, label: str) -> tuple[str, int]:
-    """Files of (key, value) by the key's leading bits, sorted by key as unsigned; the folder and the number of bits.
+def write_sorted(df: DataFrame, key: str, value: str, label: str, check: str) -> tuple[str, int]:
+    """Files of (key, check, value) by the key's leading bits, sorted by key as unsigned; the folder and the number of bits.
+
+    check tells keys that are equal by chance apart: key and check together are one 128-bit key.
 
     The number of files follows the number of rows, so that a task holds about ROWS_PER_FILE of them.
     """
@@ -41,15 +43,16 @@ def write_sorted(df: DataFrame, key: str, value: str, label: str) -> tuple[str,
     os.makedirs(folder, exist_ok=True)
 
     def store(table: pa.Table) -> pa.Table:
-        k, v = (table.column(c).to_numpy() for c in ("k", "v"))
+        k, v, c = (table.column(x).to_numpy() for x in ("k", "v", "c"))
         order = np.argsort(k.view(np.uint64), kind="stable")
         part = int(table.column("part")[0].as_py())
         save(f"{folder}/{part}.value.npy", v[order])
+        save(f"{folder}/{part}.check.npy", c[order])
         save(f"{folder}/{part}.key.npy", k[order].view(np.uint64))
         return pa.table({"part": pa.array([part], pa.int64()), "n": pa.array([len(k)], pa.int64())})
 
     part = F.shiftrightunsigned(F.col(key), 64 - bits) if bits else F.lit(0)
-    parted = df.select(F.col(key).cast("long").alias("k"), F.col(value).cast("long").alias("v"), part.cast("long").alias("part"))
+    parted = df.select(F.col(key).cast("long").alias("k"), F.col(value).cast("long").alias("v"), F.col(check).cast("long").alias("c"), part.cast("long").alias("part"))
     parted.groupBy("part").applyInArrow(store, "part long, n long").agg(F.sum("n")).collect()
     return folder, bits
 
@@ -63,23 +66,30 @@ class SortedFiles:
     def _part(self, part: int):
         if part not in self.open:
             path = f"{self.folder}/{part}.key.npy"
-            there = os.path.exists(path)
-            self.open[part] = (load(path), load(f"{self.folder}/{part}.value.npy")) if there else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            if os.path.exists(path):
+                self.open[part] = load(path), load(f"{self.folder}/{part}.value.npy"), load(f"{self.folder}/{part}.check.npy")
+            else:
+                self.open[part] = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
         return self.open[part]
 
-    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
-        """The keys' values; `default` for those that are absent."""
+    def get(self, keys: np.ndarray, default: int, checks: np.ndarray) -> np.ndarray:
+        """The values of the keys with these checks; `default` for those that are absent."""
         out = np.full(len(keys), default, np.int64)
         if not len(keys):
             return out
         order = np.argsort(keys)
-        keys = keys[order]
+        keys, checks = keys[order], checks[order].view(np.int64)
         parts = keys >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(keys), np.uint64)
         cuts = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(keys)]])
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            have, values = self._part(int(parts[lo]))
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
-                hit = have[at] == keys[lo:hi]
-                out[order[lo:hi][hit]] = values[at[hit]]
+            have, values, known = self._part(int(parts[lo]))
+            at, asked = np.searchsorted(have, keys[lo:hi]), np.arange(lo, hi)
+            while len(asked):  # more than once only where keys are equal and checks aren't
+                fits = at < len(have)
+                at, asked = at[fits], asked[fits]
+                fits = have[at] == keys[asked]
+                at, asked = at[fits], asked[fits]
+                hit = known[at] == checks[asked]
+                out[order[asked[hit]]] = values[at[hit]]
+                at, asked = at[~hit] + 1, asked[~hit]
         return out

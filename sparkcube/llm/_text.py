@@ -83,8 +83,9 @@ def _expanded(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray
     """The second and later eight-byte blocks of spans of more than eight bytes: their span, their number and their place, PIECE / 4 at a time."""
     far = np.flatnonzero(ends - starts > 8)
     to = np.concatenate([np.zeros(1, np.int64), np.cumsum((ends[far] - starts[far] - 1) >> 3)])
-    for lo in range(0, int(to[-1]), PIECE >> 2):
-        hi = min(lo + (PIECE >> 2), int(to[-1]))
+    step = max(1, PIECE >> 2)
+    for lo in range(0, int(to[-1]), step):
+        hi = min(lo + step, int(to[-1]))
         i, j = int(np.searchsorted(to, lo, side="right")) - 1, int(np.searchsorted(to, hi, side="left"))
         which = np.repeat(np.arange(i, j), np.minimum(to[i + 1 : j + 1], hi) - np.maximum(to[i:j], lo))
         number = np.arange(lo, hi) - to[which] + 1

@@ -94,11 +94,11 @@ WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents
 l AS (
   SELECT doc_id, i, x[i] AS t, regexp_extract_all(x[i], '[^\x20\x09-\x0D]+') AS w, array_to_string(w, ' ') AS g
   FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d)
-), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS nth FROM l WHERE len(w) >= 8),
+), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS nth FROM l WHERE len(w) > 0),
 k AS (SELECT g, any_value(w) AS w, min((doc_id, i)) AS o, min(doc_id) AS first FROM e GROUP BY g),
 v AS (
-  SELECT g, o, -1 AS p, g AS v FROM k
-  UNION ALL SELECT g, o, p, array_to_string(list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))), ' ') FROM (SELECT g, o, w, unnest(range(1, len(w) + 1)) AS p FROM k)
+  SELECT g, o, -1 AS p, g AS v FROM k WHERE len(w) >= 8
+  UNION ALL SELECT g, o, p, array_to_string(list_concat(list_slice(w, 1, p - 1), list_slice(w, p + 1, len(w))), ' ') FROM (SELECT g, o, w, unnest(range(1, len(w) + 1)) AS p FROM k WHERE len(w) >= 8)
 ), near AS (
   SELECT DISTINCT b.g FROM v a JOIN v b ON a.v = b.v AND a.g <> b.g AND a.o < b.o AND ((a.p = b.p) OR (a.p = -1) OR (b.p = -1))
 ), f AS (

@@ -398,7 +398,7 @@ def test_line_dedup(docs, empty):
     for r in order:
         found = [(i, tuple(words(x, fold=False))) for i, x in enumerate((r[1] or "").split("\n"))] if r[1] is not None else []
         for i, w in found:
-            if len(w) >= line_dedup.MIN_WORDS and r[0] is not None:
+            if w and r[0] is not None:
                 kinds.setdefault(w, (r[0], i))
 
     def close(a, b):
@@ -407,13 +407,14 @@ def test_line_dedup(docs, empty):
         a, b = sorted((a, b), key=len)
         return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
-    near = {w for w, at in kinds.items() if any(other < at and close(w, x) for x, other in kinds.items())}
+    least = line_dedup.MIN_WORDS
+    near = {w for w, at in kinds.items() if len(w) >= least and any(other < at and len(x) >= least and close(w, x) for x, other in kinds.items())}
     want = []
     for r in ROWS:
         out, seen, counts = [], set(), [0, 0]
         for x in r[1].split("\n") if r[1] is not None else []:
             w = tuple(words(x, fold=False))
-            if len(w) >= line_dedup.MIN_WORDS:
+            if w:
                 again = w in seen
                 seen.add(w)
                 if not again and r[0] is not None and w in near:
@@ -427,7 +428,7 @@ def test_line_dedup(docs, empty):
         lines.append(out)
     got = line_dedup.dedup_lines(docs)
     assert rows_of(got, "doc_id", "text", "n_lines", "n_equal", "n_near") == sorted(want, key=repr)
-    assert near and any(w[3] for w in want)
+    assert near and any(w[3] for w in want) and any(w[4] for w in want)
     kept = line_dedup.drop_repeated_lines(docs)
     assert kept.columns == docs.columns
     assert rows_of(kept, "doc_id", "text") == sorted([w[:2] for w in want if not (w[3] + w[4] and not words(w[1]))], key=repr)
@@ -435,15 +436,50 @@ def test_line_dedup(docs, empty):
 
 
 def test_line_dedup_drops_what_only_repeats(spark):
-    """A later copy goes with its short lines, which stay in the text; a short line of its own, or nothing removed, keeps a document."""
+    """A later copy goes with its short lines; a line of its own, or nothing removed, keeps a document."""
     long, short = " ".join(f"w{i}" for i in range(20)), "Licensed under the Apache License, Version 2.0."
-    texts = [f"{long}\n{short}\n{short}", f"{short}\n{long}\n\n{short}", f"{long}\n{short}\nwords of its own", short, f"{long} more\n{short}", f"{short}\n{long}"]
+    texts = [f"{long}\n{short}\n{short}", f"{short}\n{long}\n\n{short}", f"{long}\n{short}\nwords of its own", short, f"{long} more\n{short}", "\n \n", f"short line of\n{long}", "short line off"]
     df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
-    assert rows_of(line_dedup.dedup_lines(df), "doc_id", "n_equal", "n_near") == sorted([(0, 0, 0), (1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 1), (5, 1, 0), (None, 0, 0)], key=repr)
-    want = [(0, texts[0]), (2, f"{short}\nwords of its own"), (3, short), (None, texts[0])]
+    counts = [(0, 1, 0), (1, 3, 0), (2, 2, 0), (3, 1, 0), (4, 1, 1), (5, 0, 0), (6, 1, 0), (7, 0, 0), (None, 1, 0)]
+    assert rows_of(line_dedup.dedup_lines(df), "doc_id", "n_equal", "n_near") == sorted(counts, key=repr)
+    want = [(0, f"{long}\n{short}"), (2, "words of its own"), (5, "\n \n"), (6, "short line of"), (7, "short line off"), (None, f"{long}\n{short}")]
     assert rows_of(line_dedup.drop_repeated_lines(df), "doc_id", "text") == sorted(want, key=repr)
 
 
+def _thue_morse(n, a, b):
+    x = [a]
+    while len(x) < n:
+        x += [b if y == a else a for y in x]
+    return x
+
+
+def test_thue_morse_words_are_told_apart(spark):
+    """Words and lines on which every polynomial modulo 2**64 agrees: different shingles, different lines."""
+    one, two = ("".join(_thue_morse(1024, *x)) for x in ("ab", "ba"))
+    yes, no = (" ".join(_thue_morse(1024, *x)) for x in (("yes", "no"), ("no", "yes")))
+    texts = [f"p q {one} r s", f"p q {two} r s", yes, no, f"{one}\n{two}", f"{'x ' * 9}{one}", f"{'x ' * 9}{two}"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    measured = {r["doc_id"]: r for r in quality_rules.measure(df).collect()}
+    assert measured[4]["n_dup_lines"] == 0 and measured[4]["n_words"] == 2
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 85).collect()}
+    assert found[1] == 1 and found[6] == 6
+    lines = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [lines[i]["text"] for i in (1, 3, 4)] == [texts[i] for i in (1, 3, 4)]
+    assert (lines[6]["n_near"], lines[6]["n_equal"]) == (1, 0)
+
+
+def test_one_line_with_thousands_of_variants(spark):
+    """A hot variant: thousands of lines that differ in one word of the same place, and some in two; only the first one stays."""
+    line = [f"w{i}" for i in range(12)]
+    texts = ["\n".join(" ".join([*line[:4], f"n{i * 50 + j}", *line[5:]]) for j in range(50)) for i in range(60)]
+    texts.append(" ".join([*line[:4], "other", "word", *line[6:]]))
+    texts.append(" ".join(line[:4] + line[5:]))  # one word fewer: an edit from all of them
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_near"], r["text"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got[0] == (49, texts[0].split("\n")[0]) and all(got[i] == (50, "") for i in range(1, 60))
+    assert got[60] == (0, texts[60]) and got[61] == (1, "")
+
+
 def test_bands_miss_as_seldom_as_independent_ones():
     assert len(np.unique(near_dedup._CHOICE)) == near_dedup._CHOICE.size == near_dedup.BANDS * near_dedup.BAND_ROWS
     rng, missed, pairs = np.random.default_rng(2), 0, 300_000

@@ -52,6 +52,19 @@ def test_windows(texts, k):
     assert len(set(seen.values())) == len(seen)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=40), max_size=8), st.integers(1, 4), st.sampled_from([1, 3, 1 << 62]))
+def test_codes_are_exact_whatever_the_hash(texts, k, kinds):
+    data, at = _text.buffers(pa.array(texts, pa.string()))
+    h, s, e, to = _text.hashed(data, at)
+    codes = _text.word_codes(data, s, e, h % np.uint64(kinds))  # few kinds: nearly all hashes collide
+    flat = [w for ws in _split(texts) for w in ws]
+    assert len(set(zip(flat, codes.tolist()))) == len(set(flat)) == len(set(codes.tolist()))
+    got, wat = _text.window_codes(codes, to, k)
+    want = [tuple(ws[i : i + k]) for ws in _split(texts) for i in (range(max(1, len(ws) - k + 1)) if ws else [])]
+    assert len(set(zip(want, got.tolist()))) == len(set(want)) == len(set(got.tolist())) and wat[-1] == len(want)
+
+
 def test_slices_and_offsets():
     batch = pa.RecordBatch.from_pydict({"text": ["aa", None, "b" * 50, "", "c c"]}).slice(1, 4)
     parts = list(_text.slices(batch, "text", 10))
@@ -65,10 +78,10 @@ def test_slices_and_offsets():
 def test_equal_variants_mean_one_edit(a, b):
     """Lines share a variant as _earliest() uses it exactly if they are a word edit apart, and then the sieve lets them meet."""
     rng = np.random.default_rng(0)
-    word = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-    h = np.concatenate([word[a], word[b]])
-    s = line_dedup._Sequences(h)
+    word = rng.integers(0, 1 << 63, (2, 4), dtype=np.uint64)
+    lanes = tuple(np.concatenate([w[a], w[b]]) for w in word)
     spans = [(0, len(a)), (len(a), len(b))]
+    s = line_dedup._Sequences(lanes, *(np.array(x) for x in zip(*spans)))
     full = [[int(s.of(np.array([lo]), np.array([n]), k)[0]) for k in (0, 1)] for lo, n in spans]
     less = [[[int(s.without(np.array([lo]), np.array([n]), np.array([i]), k)[0]) for k in (0, 1)] for i in range(n)] for lo, n in spans]
     same = full[0] == full[1]
@@ -78,6 +91,9 @@ def test_equal_variants_mean_one_edit(a, b):
     longer, shorter = (a, b) if len(a) > len(b) else (b, a)
     removed = len(longer) == len(shorter) + 1 and any(longer[:i] + longer[i + 1 :] == shorter for i in range(len(longer)))
     assert near == (substituted or removed)
+    assert line_dedup.edits([b"%d" % x for x in a], [b"%d" % x for x in b]) == (0 if a == b else 1 if near else 2)
     if near:
         k = min(len(a), len(b)) // 2
         assert a[:k] == b[:k] or a[len(a) - k :] == b[len(b) - k :]
+        first, last = ([int(f(np.array([x]), np.array([k]))[0]) for x in y] for f, y in ((s.of, (0, len(a))), (s.last, (len(a), len(a) + len(b)))))
+        assert (first[0] == first[1]) == (a[:k] == b[:k]) and (last[0] == last[1]) == (a[len(a) - k :] == b[len(b) - k :])
