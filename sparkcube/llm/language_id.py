@@ -11,15 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcube.llm._text import mix, slices
+from sparkcube.llm._text import mix, released, slices
 
 ORDERS, BITS, SMOOTHING = (1, 2, 3), 16, 0.5
 #: Expected number of training texts per language: of a language with more, a reproducible share of this size is drawn by doc_id.
 TRAIN_DOCS = 5_000
 #: What a filter takes for a language at least.
 MIN_SCORE = 0.5
+#: Texts of fewer characters have too few n-grams for their mean to tell anything.
+FLOOR_CHARS = 200
+#: A text is foreign to its language when its mean log probability per n-gram lies so many standard deviations below the training texts'.
+FLOOR_DEVIATIONS = 8.0
 UNKNOWN = "und"
-_PIECE = 1 << 18  # characters whose features are held at once
+_PIECE = 1 << 17  # characters whose features are held at once
 
 
 @dataclass(frozen=True)
@@ -75,8 +79,8 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << BITS), np.int64)
         place = {name: i for i, name in enumerate(languages)}
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+        for batch in released(batches):
+            for part in slices(batch, "text", 1 << 20):
                 codes, at = _characters(part)
                 own = np.repeat(np.array([place[x] for x in part.column("lang").to_pylist()], np.int64), np.diff(at))
                 for i, bucket in _features(codes, at):
@@ -102,50 +106,78 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     return Model(languages, np.log(n / n.sum()), weights)
 
 
-def scores(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, languages) posterior probabilities, and whether each text has a letter."""
+def floors(docs: DataFrame, model: Model, per_language: int = TRAIN_DOCS) -> dict[str, float]:
+    """For each language the mean log probability per n-gram below which a text is foreign to it: FLOOR_DEVIATIONS below the mean of
+    about `per_language` texts of at least FLOOR_CHARS characters that are predicted as it. A language of one such text has no floor."""
+    sizes = docs.count()
+    draw = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1 << 40)) < min(1.0, per_language * max(1, len(model.languages)) / max(1, sizes)) * float(1 << 40)
+    found = predict(docs.where(draw).select("text"), model).where((F.char_length("text") >= FLOOR_CHARS) & (F.col("lang_pred") != UNKNOWN))
+    rows = found.groupBy("lang_pred").agg(F.avg("fit").alias("m"), F.stddev("fit").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    return {r["lang_pred"]: r["m"] - FLOOR_DEVIATIONS * r["s"] for r in rows if r["n"] > 1}
+
+
+def scores(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, languages) posterior probabilities, whether each text has a letter, and the best language's mean log probability per n-gram."""
     codes, at = _characters(part)
     n = len(at) - 1
-    total = np.tile(model.prior, (n, 1))
+    total, grams = np.tile(model.prior, (n, 1)), np.zeros(n)
     for i, bucket in _features(codes, at):
         own = np.searchsorted(at, i, side="right") - 1
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), bool), own[1:] != own[:-1]]))
         if len(first):
             total[own[first]] += np.add.reduceat(model.weights[bucket], first, axis=0)
+            grams += np.bincount(own, minlength=n)
     letters = np.concatenate([np.zeros(1, np.int64), np.cumsum(_letters(codes))]) if len(codes) else np.zeros(1, np.int64)
-    p = np.exp(total - total.max(axis=1, keepdims=True)) if model.languages else total
-    return p / p.sum(axis=1, keepdims=True) if model.languages else p, letters[at[1:]] > letters[at[:-1]]
+    has_letter = letters[at[1:]] > letters[at[:-1]]
+    if not model.languages:
+        return total, has_letter, np.zeros(n)
+    best = total.argmax(axis=1)
+    fit = (total.max(axis=1) - model.prior[best]) / np.maximum(grams, 1)
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True), has_letter, fit
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with lang_pred and score (the posterior of lang_pred), in one pass without a shuffle.
+    """All columns of docs with lang_pred, score (the posterior of lang_pred) and fit (its mean log probability per n-gram), in one pass
+    without a shuffle.
 
-    A null text, one without a letter, and any text if the model has no language get `und` and score 0. Equal scores go to the
-    language that sorts first. Repeated rows get equal results; an empty table gives no rows; existing columns lang_pred and score
-    are replaced; nothing but the text decides.
+    A null text, one without a letter, and any text if the model has no language get `und`, score 0 and fit 0. Equal scores go to the
+    language that sorts first. Repeated rows get equal results; an empty table gives no rows; existing columns of the names added are
+    replaced; nothing but the text decides.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers a language
-    kept = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    # 2**BITS numbers a language, as plain arrays: workers needn't have this package to read them
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.weights))
+    added = ("lang_pred", "score", "fit")
+    kept = docs.drop(*added).withColumn("text", F.col("text").cast("string"))
     names = kept.columns
     text_at = next(i for i, c in enumerate(names) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for part in slices(batch, names[text_at], 2 << 20):
-                p, letters = scores(pa.RecordBatch.from_arrays([part.column(text_at)], names=["text"]), known)
+        known = Model(*shared.value)
+        for batch in released(batches):
+            for part in slices(batch, names[text_at], 1 << 20):
+                p, letters, fit = scores(pa.RecordBatch.from_arrays([part.column(text_at)], names=["text"]), known)
                 if known.languages:
                     best = p.argmax(axis=1)
                     name, top = [known.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, p.max(axis=1), 0.0)
                 else:
                     name, top = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(top)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(top), pa.array(np.where(letters, fit, 0.0))], names=[*names, *added])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType())))]))
 
 
-def keep_languages(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a language: those of `und` and those below min_score go."""
-    found = predict(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}), model)
-    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return found.select(*[F.col(f"_own_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns])
+def keep_languages(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, floor: dict[str, float] | None = None) -> DataFrame:
+    """The documents with a language: those of `und`, those below min_score and, where floor (see floors()) is given, texts of at least
+    FLOOR_CHARS characters that lie below their language's floor go. A model without languages can't tell: then all texts with a letter stay.
+    """
+    added = ("lang_pred", "score", "fit")
+    found = predict(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in added}), model)
+    if model.languages:
+        ok = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
+        if floor:
+            least = F.create_map(*[F.lit(x) for kv in sorted(floor.items()) for x in kv])[F.col("lang_pred")]
+            ok &= (F.char_length("text") < FLOOR_CHARS) | least.isNull() | (F.col("fit") >= least)
+    else:
+        ok = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.where(ok).select(*[F.col(f"_own_{c}").alias(c) if c in added else F.col(c) for c in docs.columns])

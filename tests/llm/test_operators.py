@@ -2,10 +2,14 @@
 
 import fnmatch
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -287,7 +291,67 @@ def test_language_id(spark, docs, empty):
     kept = language_id.keep_languages(docs, model)
     assert kept.columns == docs.columns and {r["score"] for r in kept.collect()} == {"clash"}
     assert language_id.predict(empty, model).count() == 0
-    assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(empty)).collect()} == {"und"}
+    nothing = language_id.train(empty)
+    assert {r["lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
+    # without labels nothing can be rejected but texts without letters
+    assert rows_of(language_id.keep_languages(docs, nothing), "doc_id") == sorted([(r[0],) for r in ROWS if any(c.isalpha() for c in r[1] or "")], key=repr)
+    # a floor rejects strings of random letters and keeps what was learned from
+    floor = language_id.floors(real, model)
+    rng = random.Random(6)
+    noise = [(-1 - i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(40))) for i in range(5)]
+    mixed = real.select("doc_id", "text").union(spark.createDataFrame(noise, "doc_id long, text string"))
+    stay = {r["doc_id"] for r in language_id.keep_languages(mixed, model, floor=floor).collect()}
+    assert not any(i < 0 for i in stay) and stay == {r["doc_id"] for r in language_id.keep_languages(mixed, model).collect() if r["doc_id"] >= 0}
+
+
+def test_language_training_by_hand(spark):
+    """Counts, smoothing and priors of a small table, n-gram by n-gram."""
+    rows = [(1, "Ab, a", "x"), (2, "ba ab", "y"), (3, "b", "y"), (4, None, "x"), (5, "zz", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {"x": Counter(), "y": Counter()}
+    for _, text, lang in rows:
+        if text and lang:
+            t = "".join(c if c.isalpha() else " " for c in text.lower())
+            for k in language_id.ORDERS:
+                counts[lang].update(t[i : i + k] for i in range(len(t) - k + 1))
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor % 2**64
+        return (h ^ h >> 31) >> 64 - language_id.BITS
+
+    assert model.languages == ("x", "y") and np.allclose(model.prior, np.log([1 / 3, 2 / 3]))
+    for i, lang in enumerate(model.languages):
+        own = np.zeros(1 << language_id.BITS)
+        for gram, n in counts[lang].items():
+            own[bucket(gram)] += n
+        assert np.allclose(model.weights[:, i], np.log((own + language_id.SMOOTHING) / (own.sum() + language_id.SMOOTHING * len(own))))
+
+
+def test_workers_need_no_package(tmp_path):
+    """Executors that can't import the package run what travels to them: op7, op6, op9 and op10 on workers started elsewhere."""
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"""
+import importlib.util, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+import pyspark.cloudpickle as cloudpickle
+import sparkcube.llm.queries, sparkcube.llm as llm
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", 2).config("spark.ui.enabled", "false").getOrCreate()
+from sparkcube.llm import language_id, quality_rules
+docs = spark.createDataFrame([(1, "ab ab", "x", "s"), (2, "cd cd", "y", "s")], "doc_id long, text string, lang string, source string")
+seen = spark.sparkContext.parallelize([0], 1).map(lambda _: __import__("importlib").util.find_spec("sparkcube") is None).collect()
+assert seen == [True], seen
+print("PRED", sorted(r["lang_pred"] for r in language_id.predict(docs, language_id.train(docs)).collect()), quality_rules.judge(docs).count())
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "PRED ['x', 'y'] 2" in done.stdout, done.stdout + done.stderr[-3000:]
 
 
 def T_lit(x):
