@@ -1,7 +1,10 @@
 """Benchmark decontamination, in DataFrame operations only.
 
-The benchmark's word windows form a hash table that is broadcast when its measured size allows it (else joined by shuffle). Every
-window of every document is probed by hash, hits are confirmed on the words themselves, and documents or the hit spans are removed.
+The benchmark's word windows form a hash table that is broadcast when its measured size allows it: then one pass over the texts
+probes every window of every length by hash and confirms hits on the words. A larger table is joined by shuffle, in two steps that
+keep the texts where they are: documents that share no minimizer (the least hash of the GRAM-word runs in a window) with the
+benchmark hold none of its windows, so only the others' windows are shuffled, as hashes, and their hits confirmed on the words.
+Then documents or the hit spans are removed.
 """
 
 from __future__ import annotations
@@ -11,11 +14,15 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcube.llm._shared import written
+from sparkcube.llm._shared import small, written
 
 WINDOW = 10
 #: The table of benchmark windows is broadcast up to this many bytes of window text; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 << 20
+#: Words of the runs whose least hash stands for a window in the first step of the way by shuffle.
+GRAM = 5
+#: Stands for a document among the hashes of its windows.
+SELF = -0x5A17_C0DE_5A17_C0DE
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,31 +51,105 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"), words(F.col("text")).alias("_w"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_id, _a, _b, spans, items): for each document with hits, its hit windows as (first word from 0, words) and its items."""
-    grams = written(benchmark_windows(benchmark, window), "benchmark-windows")
-    sizes = grams.groupBy("k").agg(F.sum(F.octet_length("gram") + 64 + 24 * F.size("items")).alias("bytes")).collect()  # at most `window` rows
-    small = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
-    table = grams.select(F.col("k").alias("_k"), F.col("hash").alias("_h"), "gram", "items")
-    table = F.broadcast(table) if small else table
-    keyed = _keyed(docs).withColumn("_x", F.transform("_w", lambda x: F.xxhash64(x)))
-    found = None
-    for k in sorted(r["k"] for r in sizes):
-        at = F.when(F.size("_x") >= k, F.sequence(F.lit(1), F.size("_x") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        hashes = F.transform(at, lambda i: F.xxhash64(F.lit(k), F.slice("_x", i, k)))  # noqa: B023
-        probe = keyed.select("_id", "_a", "_b", "_w", hashes.alias("_s")).select("_id", "_a", "_b", "_w", F.posexplode_outer("_s").alias("_p", "_h"))  # outer: else Spark filters on the size, and computes all hashes once more for it
-        # an equality would become a join key, and every window's words would be joined to a string
-        same = F.array_contains(F.array("gram"), F.array_join(F.slice("_w", F.col("_p") + 1, k), " "))
-        hit = probe.join(table.where(F.col("_k") == k), "_h").where(same)
-        hit = hit.select("_id", "_a", "_b", F.col("_p").alias("p"), F.lit(k).alias("k"), "items")
-        found = hit if found is None else found.union(hit)
-    if found is None:
-        found = keyed.select("_id", "_a", "_b", F.lit(0).alias("p"), F.lit(0).alias("k"), F.array(F.lit("")).alias("items")).where(F.lit(False))
+def _hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda x: F.xxhash64(x))
+
+
+def _windows(hashes: Column, lengths: list[int]) -> Column:
+    """The hashes of all windows of the first length, then of the next one, and so on."""
+    parts = []
+    for k in lengths:
+        at = F.when(F.size(hashes) >= k, F.sequence(F.lit(1), F.size(hashes) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        parts.append(F.transform(at, lambda i: F.xxhash64(F.lit(k), F.slice(hashes, i, k))))  # noqa: B023
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def _place(n: Column, size: Column, lengths: list[int]) -> tuple[Column, Column]:
+    """First word (from 0) and length of window number n of _windows()."""
+    p, k, before = n, F.lit(lengths[-1]), F.lit(0)
+    ends = []
+    for length in lengths[:-1]:
+        end = before + F.greatest(size - (length - 1), F.lit(0))
+        ends.append((length, before, end))
+        before = end
+    p = n - before
+    for length, start, end in reversed(ends):
+        p, k = F.when(n < end, n - start).otherwise(p), F.when(n < end, F.lit(length)).otherwise(k)
+    return p, k
+
+
+def _minimizers(hashes: Column, lengths: list[int]) -> Column:
+    """The distinct minimizers of all windows: of each, the least hash of its runs of GRAM words (of all its words, if it has fewer)."""
+    parts = []
+    for k in lengths:
+        m = min(GRAM, k)
+        runs = F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(1), F.size(hashes) - (m - 1)), lambda i: F.xxhash64(F.lit(m), F.slice(hashes, i, m))))  # noqa: B023
+        least = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - (k - m)), lambda i: F.array_min(F.slice(r, i, k - m + 1)))  # noqa: B023,E731
+        parts.append(F.coalesce(runs if k == m else least(runs), F.array().cast("array<bigint>")))
+    return F.array_distinct(F.concat(*parts))
+
+
+def _probed(keyed: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_id, _a, _b, n_words, rows, spans, items) of every document (a key with its number of rows), in one pass: windows are probed where the
+    text is, and of those without a hit only a document's first one goes on."""
+    # the document itself comes first, and its constant in the table as well: so an inner join keeps it, and the windows that are hit
+    hashes = F.concat(F.array(F.lit(SELF)), _windows(F.col("_x"), lengths))
+    # a column of its own, as a generator that holds lambdas is left out of generated code, and its rows with all their words are copied;
+    # and outer, as else Spark filters on the array's size and computes all hashes once more for that
+    probe = keyed.select("_id", "_a", "_b", "_w", hashes.alias("_s")).select("_id", "_a", "_b", "_w", F.posexplode_outer("_s").alias("_n", "_h"))
+    itself = table.sparkSession.range(1).select(F.lit(0).alias("_k"), F.lit(SELF).alias("hash"), F.lit(None).cast("string").alias("gram"), F.array().cast("array<string>").alias("items"))
+    joined = probe.join(F.broadcast(table.unionByName(itself)), F.col("_h") == F.col("hash"))
+    p, k = _place(F.col("_n") - 1, F.size("_w"), lengths)
+    # an equality would become a join key, and every window's words would be joined to a string
+    hit = (F.col("_n") > 0) & (k == F.col("_k")) & F.array_contains(F.array("gram"), F.array_join(F.slice("_w", p + 1, k), " "))
+    first = (F.col("_n") == 0) & F.col("gram").isNull()
+    found = joined.where(first | hit).select("_id", "_a", "_b", F.when(first, F.size("_w")).alias("n"), F.when(~first, F.struct(p.alias("p"), F.col("_k").alias("k"))).alias("span"), F.when(~first, F.col("items")).alias("items"))
     return found.groupBy("_id", "_a", "_b").agg(
+        F.max("n").cast("long").alias("n_words"),
+        F.count("n").alias("rows"),
+        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+
+
+def _shuffled(keyed: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_id, _a, _b, spans, items) of the documents with hits, by shuffle of hashes."""
+    own = grams.select(F.explode(_minimizers(_hashes(F.split("gram", " ")), lengths)).alias("m")).distinct()
+    sieve = keyed.select("_id", "_a", "_b", _minimizers(F.col("_x"), lengths).alias("_s"))
+    sieve = sieve.select("_id", "_a", "_b", F.explode_outer("_s").alias("m")).join(own, "m", "left_semi")
+    passed = written(sieve.select("_id", "_a", "_b").distinct(), "minimizer-hits").select(F.col("_id").alias("_i"), F.col("_a").alias("_c"), F.col("_b").alias("_d"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_a") == F.col("_c")) & (F.col("_b") == F.col("_d"))
+    some = written(keyed.join(small(passed), same, "left_semi").select("_id", "_a", "_b", "_w").distinct(), "minimizer-texts")
+    probe = some.select("_id", "_a", "_b", _windows(_hashes(F.col("_w")), lengths).alias("_s"), F.size("_w").alias("_size"))
+    probe = probe.select("_id", "_a", "_b", "_size", F.posexplode_outer("_s").alias("_n", "h"))
+    p, k = _place(F.col("_n"), F.col("_size"), lengths)
+    hits = probe.join(grams.withColumnRenamed("k", "_k"), F.col("h") == F.col("hash")).where(k == F.col("_k"))
+    hits = written(hits.select("_id", "_a", "_b", p.alias("p"), F.col("_k").alias("k"), "gram", "items"), "window-hits")
+    texts = some.select(F.col("_id").alias("_i"), F.col("_a").alias("_c"), F.col("_b").alias("_d"), "_w")
+    sure = hits.join(texts, same).where(F.array_contains(F.array("gram"), F.array_join(F.slice("_w", F.col("p") + 1, F.col("k")), " ")))
+    return sure.groupBy("_id", "_a", "_b").agg(
         F.sort_array(F.collect_set(F.struct("p", "k"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
 
 
+def _prepared(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[int], bool]:
+    """The keyed documents, the benchmark's windows, their lengths, and whether their table may be broadcast."""
+    grams = written(benchmark_windows(benchmark, window), "benchmark-windows")
+    sizes = grams.groupBy("k").agg(F.sum(F.octet_length("gram") + 64 + 24 * F.size("items")).alias("bytes")).collect()  # at most `window` rows
+    fits = sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES
+    return _keyed(docs).withColumn("_x", _hashes(F.col("_w"))), grams, sorted(r["k"] for r in sizes), fits
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(_id, _a, _b, spans, items): for each document with hits, its hit windows as (first word from 0, words) and its items."""
+    keyed, grams, lengths, fits = _prepared(docs, benchmark, window)
+    if not lengths:
+        return keyed.select("_id", "_a", "_b", F.array().cast("array<struct<p:int,k:int>>").alias("spans"), F.array().cast("array<string>").alias("items")).where(F.lit(False))
+    if fits:
+        return _probed(keyed, grams.withColumnRenamed("k", "_k"), lengths).where(F.size("spans") > 0).select("_id", "_a", "_b", "spans", "items")
+    return _shuffled(keyed, grams, lengths)
+
+
 def _covered(spans: Column) -> Column:
     """Words inside any of the sorted spans."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -89,16 +170,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A null, empty or wordless text has no words and is clean; null doc_ids keep their rows; repeated rows get equal results;
     an item of fewer than `window` words is one window; an empty benchmark leaves all documents clean; other columns are ignored.
     """
-    base = _keyed(docs).select("_id", "_a", "_b", F.size("_w").cast("long").alias("n_words"))
-    spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<p:int,k:int>>"))
-    return _with_hits(base, find_hits(docs, benchmark, window)).select(
-        F.col("_id").alias("doc_id"),
-        "n_words",
-        _covered(F.col("spans")).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.col("items"), F.array().cast("array<string>")).alias("items"),
-        spans.alias("spans"),
-        F.col("spans").isNotNull().alias("contaminated"),
+    keyed, grams, lengths, fits = _prepared(docs, benchmark, window)
+    none = F.array().cast("array<struct<p:int,k:int>>"), F.array().cast("array<string>")
+    if not lengths:
+        found = keyed.select("_id", F.size("_w").cast("long").alias("n_words"), none[0].alias("spans"), none[1].alias("items"))
+    elif fits:  # repeated rows were counted, and come back as often
+        found = _probed(keyed, grams.withColumnRenamed("k", "_k"), lengths)
+        found = found.select("_id", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+    else:
+        base = keyed.select("_id", "_a", "_b", F.size("_w").cast("long").alias("n_words"))
+        found = _with_hits(base, _shuffled(keyed, grams, lengths)).withColumns({"spans": F.coalesce("spans", none[0]), "items": F.coalesce("items", none[1])})
+    return found.select(
+        F.col("_id").alias("doc_id"), "n_words", _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("spans") > 0).alias("contaminated")
     )
 
 
@@ -114,8 +197,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     # the rows travel as structs, so that none of their columns clashes with those made here
     left = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"))
     if remove == "document":
-        cond = left["_id"].eqNullSafe(hits["_id"]) & (left["_a"] == hits["_a"]) & (left["_b"] == hits["_b"])
-        return left.join(hits, cond, "left_anti").select("_row.*")
+        hits = written(hits.select(F.col("_id").alias("_hid"), F.col("_a").alias("_ha"), F.col("_b").alias("_hb")), "contaminated")
+        cond = left["_id"].eqNullSafe(F.col("_hid")) & (left["_a"] == F.col("_ha")) & (left["_b"] == F.col("_hb"))
+        return left.join(small(hits), cond, "left_anti").select("_row.*")
     text = F.col("_row.text")
     piece = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(text, F.lit(piece), F.lit(0))

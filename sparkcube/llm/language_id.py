@@ -21,7 +21,7 @@ MIN_SCORE = 0.5
 #: Texts of fewer characters have too few n-grams for their mean to tell anything.
 FLOOR_CHARS = 200
 #: A text is foreign to its language when its mean log probability per n-gram lies so many standard deviations below the training texts'.
-FLOOR_DEVIATIONS = 8.0
+FLOOR_DEVIATIONS = 16.0
 UNKNOWN = "und"
 _PIECE = 1 << 17  # characters whose features are held at once
 

@@ -553,3 +553,23 @@ def test_bands_miss_as_seldom_as_independent_ones():
         b = np.where(rng.random(a.shape) < p, a, a + np.uint8(128))
         missed += int((near_dedup.band_keys(a) != near_dedup.band_keys(b)).all(axis=1).sum())
     assert missed < 10 * pairs * (1 - p**near_dedup.BAND_ROWS) ** near_dedup.BANDS
+
+
+def test_decontamination_by_shuffle_moves_less_than_the_texts(spark, monkeypatch, tmp_path):
+    """A table of windows that is too large to broadcast: hashes are shuffled, and fewer bytes than the texts have."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", -1)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(1000)) for _ in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(texts[3].split()[100:130])), (2, " ".join(texts[8].split()[:10])), (3, "nothing of this kind is anywhere to be found in it")], "item_id long, text string")
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(path)
+    before = _shuffled(spark)
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.contamination(spark.read.parquet(path), bench).collect() if r["contaminated"]}
+    assert got == {3: (30, ["1"]), 8: (10, ["2"])}
+    written = _shuffled(spark) - before
+    assert 0 < written < sum(map(len, texts)), written
+
+
+def _shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
