@@ -56,7 +56,7 @@ def _hashes(words_: Column) -> Column:
 
 
 def _windows(hashes: Column, lengths: list[int]) -> Column:
-    """The hashes of all windows of the first length, then of the next one, and so on."""
+    """(hashes: a column, not an expression) The hashes of all windows of the first length, then of the next one, and so on."""
     parts = []
     for k in lengths:
         at = F.when(F.size(hashes) >= k, F.sequence(F.lit(1), F.size(hashes) - (k - 1))).otherwise(F.array().cast("array<int>"))
@@ -84,8 +84,9 @@ def _minimizers(hashes: Column, lengths: list[int]) -> Column:
     for k in lengths:
         m = min(GRAM, k)
         runs = F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(1), F.size(hashes) - (m - 1)), lambda i: F.xxhash64(F.lit(m), F.slice(hashes, i, m))))  # noqa: B023
+        # bound to r, as an expression inside a lambda is computed for each element
         least = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - (k - m)), lambda i: F.array_min(F.slice(r, i, k - m + 1)))  # noqa: B023,E731
-        parts.append(F.coalesce(runs if k == m else least(runs), F.array().cast("array<bigint>")))
+        parts.append(F.coalesce(runs if k == m else F.transform(F.array(runs), lambda r: F.when(r.isNotNull(), least(r)))[0], F.array().cast("array<bigint>")))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -114,13 +115,13 @@ def _probed(keyed: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame
 
 def _shuffled(keyed: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
     """(_id, _a, _b, spans, items) of the documents with hits, by shuffle of hashes."""
-    own = grams.select(F.explode(_minimizers(_hashes(F.split("gram", " ")), lengths)).alias("m")).distinct()
+    own = grams.select(_hashes(F.split("gram", " ")).alias("_x")).select(F.explode(_minimizers(F.col("_x"), lengths)).alias("m")).distinct()
     sieve = keyed.select("_id", "_a", "_b", _minimizers(F.col("_x"), lengths).alias("_s"))
     sieve = sieve.select("_id", "_a", "_b", F.explode_outer("_s").alias("m")).join(own, "m", "left_semi")
     passed = written(sieve.select("_id", "_a", "_b").distinct(), "minimizer-hits").select(F.col("_id").alias("_i"), F.col("_a").alias("_c"), F.col("_b").alias("_d"))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_a") == F.col("_c")) & (F.col("_b") == F.col("_d"))
-    some = written(keyed.join(small(passed), same, "left_semi").select("_id", "_a", "_b", "_w").distinct(), "minimizer-texts")
-    probe = some.select("_id", "_a", "_b", _windows(_hashes(F.col("_w")), lengths).alias("_s"), F.size("_w").alias("_size"))
+    some = written(keyed.join(small(passed), same, "left_semi").select("_id", "_a", "_b", "_w", "_x").distinct(), "minimizer-texts")
+    probe = some.select("_id", "_a", "_b", _windows(F.col("_x"), lengths).alias("_s"), F.size("_w").alias("_size"))
     probe = probe.select("_id", "_a", "_b", "_size", F.posexplode_outer("_s").alias("_n", "h"))
     p, k = _place(F.col("_n"), F.col("_size"), lengths)
     hits = probe.join(grams.withColumnRenamed("k", "_k"), F.col("h") == F.col("hash")).where(k == F.col("_k"))
