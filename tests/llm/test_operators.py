@@ -232,6 +232,17 @@ def test_packing(docs, empty):
         whole = "".join(r["text"] for r in sorted((r for r in got if r["doc_id"] == doc_id), key=lambda r: r["piece"]))
         assert whole == (next(r[1] for r in ROWS if r[0] == doc_id) or "")
     assert packing.pack(empty).count() == 0
+    # conflicts on the whole output: sources and clusters of equal words, or of a column
+    source, text = {r[0]: r[3] for r in ROWS}, {r[0]: tuple(words(r[1])) for r in ROWS}
+    for cluster, key in ((None, text), ("lang", {r[0]: r[2] or r[0] for r in ROWS})):
+        bins = defaultdict(list)
+        for r in packing.pack(docs.where("doc_id is not null and doc_id not in (0, 5, 24)"), 64, limit=2, cluster=cluster).collect():
+            bins[r["bin_id"]].append(r["doc_id"])
+        assert all(len({key[i] for i in x}) == len(x) for x in bins.values())
+        assert all(n <= 2 for x in bins.values() for s, n in Counter(source[i] for i in x).items() if s is not None)
+    narrow = packing.pieces(docs, 64).collect()
+    hot, tokens = max(Counter(r["source"] for r in narrow if r["source"]).values()), sum(r["n_tokens"] for r in narrow)
+    assert packing.source_limit(packing.pieces(docs, 64), 64) == math.ceil(hot / math.ceil(tokens / 64)) + 1
 
 
 def test_ngram_model(docs, empty):
