@@ -6,7 +6,9 @@ V(vec, comp | x). A missing combination is a missing cell.
 
 from __future__ import annotations
 
+import atexit
 import datetime
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -122,7 +124,14 @@ def _out(cube: Cube, name: str = "total", digits: int | None = 4) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """A place for a query's store in the folder that all executors share; a temporary one only where none is named and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
     return f"{base}/cubes/{uuid.uuid4().hex}"
 
 
@@ -438,9 +447,15 @@ def weighted_adaptive_hist(spark, sf):
     return group.weighted_histogram(t, F.col("total"), F.lit(1.0), 5, {"region": F.col("region")}).withColumn("MidPoints", F.round("MidPoints", 3))
 
 
-@query('SELECT CAST(a.comp AS BIGINT) AS "X", CAST(b.comp AS BIGINT) AS "CoX", round(covar_samp(a.x, b.x), 6) AS value FROM V a JOIN V b USING (vec) WHERE a.comp <= 4 AND b.comp <= 4 GROUP BY 1, 2')
+@query('SELECT CAST(a.comp AS BIGINT) AS "X", CAST(b.comp AS BIGINT) AS "CoX", round(covar_samp(a.x, b.x), 6) AS value FROM V a JOIN V b USING (vec) GROUP BY 1, 2')
 def covariance(spark, sf):
-    c = group.covariance(vectors(spark, sf).sel(comp=Interval(1, 4)), "comp", "vec")
+    c = group.covariance(vectors(spark, sf), "comp", "vec")
+    return c.df.select(F.col("X").cast("long").alias("X"), F.col("CoX").cast("long").alias("CoX"), F.round("value", 6).alias("value"))
+
+
+@query('SELECT CAST(a.comp AS BIGINT) AS "X", CAST(b.comp AS BIGINT) AS "CoX", round(sum(w * a.x * b.x) / sum(w) - sum(w * a.x) / sum(w) * sum(w * b.x) / sum(w), 6) AS value FROM (SELECT *, 1 + vec % 3 AS w FROM V) a JOIN V b USING (vec) GROUP BY 1, 2')
+def covariance_weighted(spark, sf):
+    c = group.covariance(vectors(spark, sf), "comp", "vec", 1 + F.col("vec") % 3)
     return c.df.select(F.col("X").cast("long").alias("X"), F.col("CoX").cast("long").alias("CoX"), F.round("value", 6).alias("value"))
 
 
@@ -518,6 +533,12 @@ def cumsum(spark, sf):
     return _out(reduce.mapslices("cumsum", events(spark, sf)["total"], "hr"), "total", 2)
 
 
+@query("SELECT day, hr, etype, round(sum(total) OVER (PARTITION BY day, etype ORDER BY hr DESC ROWS UNBOUNDED PRECEDING), 2) AS total FROM E")
+def cumsum_reverse(spark, sf):
+    c = events(spark, sf)["total"]
+    return _out(reduce.mapslices("cumsum", c.with_df(c.df, [a if a.name != "hr" else Axis("hr", range(23, -1, -1)) for a in c.axes]), "hr"), "total", 2)
+
+
 @query("SELECT nation, yr, segment, round(total / max(total) OVER (PARTITION BY yr, segment), 6) AS total FROM S")
 def slice_normalise(spark, sf):
     return _out(reduce.normalise(sales(spark, sf), "nation"), "total", 6)
@@ -619,6 +640,17 @@ def pixel_udf(spark, sf):
     return _out(slices.map_cube(slope, sales(spark, sf), indims=slices.InDims("yr")), "value", 5)
 
 
+@query("SELECT nation, yr, segment, round(total, 2) AS total FROM S")
+def mapslices_identity(spark, sf):
+    return _out(reduce.mapslices(lambda x: x, sales(spark, sf), "yr"), "total", 2)
+
+
+@query("SELECT nation, yr, segment, round(sum(total) OVER (PARTITION BY nation, segment ORDER BY yr ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS value FROM S")
+def moving_window_udf(spark, sf):
+    dims = slices.InDims(window={"yr": (1, 1)}, oob=0.0)
+    return _out(slices.map_cube(lambda x: np.nansum(x), sales(spark, sf), indims=dims), "value", 2)
+
+
 @query(
     """x AS (SELECT nation, yr, segment, total, avg(total) OVER (PARTITION BY nation, segment ORDER BY yr RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS slow FROM S)
     SELECT nation, yr, segment, round(slow, 4) AS slow, round(total - slow, 4) AS fast FROM x"""

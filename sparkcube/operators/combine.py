@@ -89,8 +89,8 @@ def merge_datasets(sets: Sequence[Dataset]) -> Dataset:
             merged, order = _merge_axis(a.name, [c.axis(a.name) for c in cubes])
             axes.append(merged)
             blocks *= len(order) if order else 1
-        if blocks not in (1, len(sets)):
-            raise AxisError(f"{v}: {len(sets)} datasets don't fill {blocks} blocks")
+        if blocks != len(sets):
+            raise AxisError(f"{v}: {len(sets)} datasets don't fill {blocks} blocks; no axis tells them apart")
         if blocks == 1:
             out[v] = cubes[0]
             continue

@@ -184,31 +184,28 @@ def weighted_histogram(df: DataFrame, value: Column, weight: Column, bins_: int,
     return rows.withColumn("Bin", at).groupBy(*by, "Bin").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("MidPoints"), F.sum("w").alias("Frequency"))
 
 
-def covariance(cube: Cube, variable: str, over: str, weight: Column | None = None, most: int = BROADCAST_ROWS) -> Cube:
+def covariance(cube: Cube, variable: str, over: str, weight: Column | None = None) -> Cube:
     """Covariance between the labels of an axis, over another axis: axes X and CoX. Weighted (by a column of the table) it is the
     population form, sum(w x y)/sum(w) - mean x mean y; else the sample form.
 
-    The table is turned once so that each row holds one `over` label's vector; moments are sums over rows, so no pair of cells is
-    shuffled.
+    The cells of one `over` label come together once; their pairs are made in the row and summed where they are, so a row per pair of
+    labels and task is shuffled, and no pair of cells. Pairs with a cell missing don't count.
     """
     axis, rows = cube.axis(variable), cube.axis(over).name
-    names = [f"_x{i}" for i in range(len(axis))]
     w = F.lit(1.0) if weight is None else weight
-    frame = cube.df.groupBy(rows, w.alias("_w")).pivot(axis.name, list(axis.values)).agg(F.first(cube.value))
-    frame = frame.toDF(rows, "_w", *names)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    cells = cube.df.where(cube.v.isNotNull()).groupBy(rows, w.cast("double").alias("_w")).agg(F.sort_array(F.collect_list(F.struct(F.col(axis.name).alias("l"), cube.v.cast("double").alias("x")))).alias("e"))
+    first = cells.select("_w", "e", F.posexplode_outer("e").alias("i", "a")).where("a is not null")
+    second = first.select("_w", F.col("a.l").alias("_a"), F.col("a.x").alias("_x"), F.slice("e", F.col("i") + 1, F.size("e")).alias("_s"))
+    pairs = second.select("_w", "_a", "_x", F.explode_outer("_s").alias("b")).select("_w", "_a", F.col("b.l").alias("_b"), "_x", F.col("b.x").alias("_y"))
     if weight is None:
-        moments = [F.covar_samp(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]
+        value = F.covar_samp("_x", "_y")
     else:
-        def one(i: int, j: int) -> Column:
-            ok = F.col(names[i]).isNotNull() & F.col(names[j]).isNotNull()
-            s = lambda c: F.sum(F.when(ok, c))
-            n = s(F.col("_w"))
-            return s(F.col("_w") * F.col(names[i]) * F.col(names[j])) / n - s(F.col("_w") * F.col(names[i])) / n * (s(F.col("_w") * F.col(names[j])) / n)
-
-        moments = [one(i, j).alias(f"c{i}_{j}") for i, j in pairs]
-    entries = [F.struct(F.lit(axis.values[a]).alias("X"), F.lit(axis.values[b]).alias("CoX"), F.col(f"c{i}_{j}").alias("value")) for i, j in pairs for a, b in {(i, j), (j, i)}]
-    df = frame.agg(*moments).select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        mean = lambda c: F.sum(F.col("_w") * c) / F.sum("_w")
+        value = mean(F.col("_x") * F.col("_y")) - mean(F.col("_x")) * mean(F.col("_y"))
+    half = pairs.groupBy("_a", "_b").agg(value.alias("value"))
+    turned = F.when(F.col("_a") == F.col("_b"), F.array(F.struct(F.col("_a").alias("X"), F.col("_b").alias("CoX"))))
+    both = turned.otherwise(F.array(F.struct(F.col("_a").alias("X"), F.col("_b").alias("CoX")), F.struct(F.col("_b").alias("X"), F.col("_a").alias("CoX"))))
+    df = half.select("value", F.explode(both).alias("e")).select("e.X", "e.CoX", "value")
     return Cube(df, (Axis("X", axis.values), Axis("CoX", axis.values)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +35,13 @@ def reduce_cube(cube: Cube, how: str | Callable[[Column], Column], *dims: str, s
 
 
 def _along(cube: Cube, dim: str) -> Window:
-    return Window.partitionBy(*cube.others(dim)).orderBy(dim)
+    from sparkcube.operators.window import _place
+
+    return Window.partitionBy(*cube.others(dim)).orderBy(_place(cube.axis(dim)))
 
 
 def cumulate(cube: Cube, dim: str, how: str = "sum") -> Cube:
-    """Running reduction along an axis; the axis stays."""
+    """Running reduction along an axis, in the order of its positions, whether labels ascend, descend or neither; the axis stays."""
     dim = cube.axis(dim).name
     over = _along(cube, dim).rowsBetween(Window.unboundedPreceding, 0)
     return cube.rebuild(REDUCERS[how](cube.v).over(over))
@@ -61,9 +64,13 @@ def extrema(cube: Cube, *dims: str, name: str = "Extrema") -> Cube:
     return cube.with_df(df, [Axis(name, ("min", "max")), *left])
 
 
-def mapslices(fn: str | Callable, cube: Cube, *dims: str, dropdims: bool = True, args: tuple = (), **kwargs: Any) -> Cube:
+def mapslices(fn: str | Callable, cube: Cube, *dims: str, dropdims: bool = True, args: tuple = (), outdims: Any = None, **kwargs: Any) -> Cube:
     """A function of slices: names of reducers and scans run as aggregates and windows, others as Arrow-batched functions of
-    numpy arrays (operators.slices), with args and kwargs passed on. dropdims=False keeps reduced axes with a single label."""
+    numpy arrays (operators.slices), with args and kwargs passed on. dropdims=False keeps reduced axes with a single label.
+
+    What a function's results have for axes is outdims, or else told by its result for a slice of ones: a number has none, an array of
+    the slice's shape has the slice's axes, and another one has axes OutAxis1, OutAxis2, ... of positions from 1.
+    """
     names = [cube.axis(d).name for d in dims]
     if fn in ("cumsum", "cummax", "cummin", "cumcount"):
         return cumulate(cube, names[0], fn.removeprefix("cum"))
@@ -77,4 +84,8 @@ def mapslices(fn: str | Callable, cube: Cube, *dims: str, dropdims: bool = True,
         return out
     from sparkcube.operators.slices import InDims, OutDims, map_cube
 
-    return map_cube(fn, cube, indims=InDims(*names), outdims=OutDims(), args=args, kwargs=kwargs)
+    if outdims is None:
+        shape = tuple(len(cube.axis(n)) for n in names)
+        made = np.shape(fn(np.ones(shape), *args, **kwargs))
+        outdims = OutDims(*(names if made == shape else [Axis(f"OutAxis{i}", range(1, n + 1)) for i, n in enumerate(made, 1)]))
+    return map_cube(fn, cube, indims=InDims(*names), outdims=outdims, args=args, kwargs=kwargs)

@@ -6,13 +6,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkcube.axes import Axis, AxisError, find_axis, get_axis
 from sparkcube.cube import SUBSET_HOOKS, Cube
-from sparkcube.plans.axismap import BROADCAST_ROWS
+from sparkcube.plans.axismap import BROADCAST_ROWS, stored
 
 
 @dataclass(frozen=True)
@@ -58,7 +59,8 @@ class Contains:
 
 @dataclass(frozen=True)
 class Where:
-    """Labels that satisfy a Python predicate, or, given a Column, rows that satisfy it."""
+    """Labels that satisfy a Python predicate or, given a Column of the axis alone, that condition; a Column of other columns too masks
+    cells and leaves the axis as it is."""
 
     test: Callable[[Any], bool] | Column
 
@@ -69,7 +71,18 @@ def _literal(x: Any, kind: T.DataType) -> Column:
     return F.lit(x).cast(kind) if isinstance(kind, T.NumericType) else F.lit(x)
 
 
-def _resolve(axis: Axis, kind: T.DataType, selector: Any) -> tuple[Column, Axis | None, Any]:
+def _labels_where(axis: Axis, kind: T.DataType, test: Column, spark: SparkSession) -> Axis | None:
+    """The axis' labels that meet a condition on it; None if the condition needs other columns."""
+    schema = T.StructType([T.StructField("_at", T.IntegerType()), T.StructField(axis.name, kind)])
+    labels = spark.createDataFrame([(i, stored(v, kind)) for i, v in enumerate(axis.values)], schema)
+    try:
+        kept = labels.where(test)
+    except AnalysisException:
+        return None
+    return axis.take(sorted(r[0] for r in kept.select("_at").collect()))  # labels are the driver's
+
+
+def _resolve(axis: Axis, kind: T.DataType, selector: Any, spark: SparkSession | None = None) -> tuple[Column, Axis | None, Any]:
     """Predicate, remaining axis (None: a single label, dropped), and the label taken."""
     c = F.col(axis.name)
     if isinstance(selector, Near):
@@ -100,7 +113,8 @@ def _resolve(axis: Axis, kind: T.DataType, selector: Any) -> tuple[Column, Axis
         return c["left"].isin([F.lit(axis.values[i].left) for i in keep]), axis.take(keep), None
     if isinstance(selector, Where):
         if isinstance(selector.test, Column):
-            return selector.test, axis, None
+            left = _labels_where(axis, kind, selector.test, spark)
+            return selector.test, axis if left is None else left, None
         keep = [i for i, v in enumerate(axis.values) if selector.test(v)]
         return c.isin([_literal(axis.values[i], kind) for i in keep]), axis.take(keep), None
     raise AxisError(f"not a selector: {selector!r}")
@@ -123,7 +137,7 @@ def select(cube: Cube, **by: Any) -> Cube:
                 selector = Interval(selector.start, selector.stop)
             elif not isinstance(selector, (At, Near, Interval, Touches, Contains, Where)):
                 selector = At(selector)
-            predicate, left, _ = _resolve(axis, kind, selector)
+            predicate, left, _ = _resolve(axis, kind, selector, df.sparkSession)
         df = df.where(predicate)
         at = axes.index(axis)
         if left is None:

@@ -12,8 +12,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from sparkcube.axes import Axis, AxisError, get_axis
 from sparkcube.cube import Cube, Dataset
@@ -24,15 +27,23 @@ from sparkcube.plans.axismap import type_of
 
 @dataclass(frozen=True)
 class InDims:
-    """The axes that a function consumes, which slices it skips, and what a slice is turned into (pandas.Series, list; an array by default)."""
+    """The axes that a function consumes, which slices it skips, and what a slice is turned into (pandas.Series, list; an array by default).
+
+    window has moving windows: (before, after) by axis. Such an axis stays a loop axis, and the slice gets a further axis, after
+    the named ones, of the window's positions; those beyond the axis are oob.
+    """
 
     axes: tuple[str, ...]
     filter: SliceFilter = ALL_MISSING
     artype: Callable[[np.ndarray], Any] | None = None
+    window: tuple[tuple[str, tuple[int, int]], ...] = ()
+    oob: Any = None
 
-    def __init__(self, *axes: str, filter: Any = ALL_MISSING, artype: Callable[[np.ndarray], Any] | None = None):
+    def __init__(self, *axes: str, filter: Any = ALL_MISSING, artype: Callable[[np.ndarray], Any] | None = None, window: Mapping[str, tuple[int, int]] | None = None, oob: Any = None):
         object.__setattr__(self, "axes", axes)
         object.__setattr__(self, "artype", artype)
+        object.__setattr__(self, "window", tuple((window or {}).items()))
+        object.__setattr__(self, "oob", oob)
         object.__setattr__(self, "filter", combine(filter))
 
 
@@ -68,6 +79,46 @@ def _gather(cube: Cube, inner: list[Axis], name: str, skip: SliceFilter) -> Data
     return cells.agg(packed.alias(name), F.coalesce(skip.skip(cube.v, n), F.lit(False)).alias(f"{name}_skip"))
 
 
+def _windowed(cube: Cube, dims: InDims) -> tuple[Cube, list[str]]:
+    """The cube with an axis for each moving window, and the axes that a slice has."""
+    from sparkcube.operators.window import offsets
+
+    names = list(dims.axes)
+    for query, (pre, after) in dims.window:
+        own = cube.axis(query).name
+        cube = offsets(cube, own, pre, after, dims.oob, f"{own}_window")
+        names.append(f"{own}_window")
+    return cube, names
+
+
+def _slices(column: pa.Array, size: int, numeric: bool) -> np.ndarray:
+    """(rows, size) cells from a list column of (position, value): one scatter for all slices of a batch."""
+    offsets = column.offsets.to_numpy()
+    cells = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+    out = np.full((len(column), size), np.nan if numeric else None, float if numeric else object)
+    at, values = (cells.field(k) for k in (0, 1))
+    if len(cells):
+        if numeric and pa.types.is_decimal(values.type):
+            values = values.cast(pa.float64())
+        out[rows, at.to_numpy(zero_copy_only=False)] = values.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _listed(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column of the rows' cells, NaN and None as nulls."""
+    to = np.concatenate([np.zeros(1, np.int32), np.cumsum([len(r) for r in rows], dtype=np.int32)])
+    if all(r.dtype.kind in "fiub" for r in rows):
+        flat = np.concatenate(rows) if rows else np.zeros(0)
+        cells = pa.array(flat, from_pandas=True)
+        if not cells.type.equals(kind):
+            cells = cells.cast(kind, safe=False)
+    else:
+        plain = lambda x: None if x is None or (isinstance(x, float) and x != x) else x
+        cells = pa.array([plain(x) for r in rows for x in r.tolist()], kind)
+    return pa.ListArray.from_arrays(pa.array(to), cells)
+
+
 def map_cube(
     fn: Callable, *cubes: Cube | Dataset, indims: InDims | Sequence[InDims], outdims: OutDims | Sequence[OutDims] = OutDims(), include_loopvars: bool = False, args: tuple = (), kwargs: Mapping[str, Any] | None = None
 ) -> Cube | tuple[Cube, ...]:
@@ -88,8 +139,9 @@ def map_cube(
     outs = list(outdims) if several else [outdims]
     if len(ins) != len(cubes):
         raise AxisError(f"{len(cubes)} inputs, {len(ins)} InDims")
+    cubes, wanted = zip(*(_windowed(c, d) for c, d in zip(cubes, ins)))
     union_axes([c for c in cubes])
-    inner = [[c.axis(q) for q in d.axes] for c, d in zip(cubes, ins)]
+    inner = [[c.axis(q) for q in names] for c, names in zip(cubes, wanted)]
     loop: dict[str, Axis] = {}
     for c, own in zip(cubes, inner):
         for a in c.axes:
@@ -113,30 +165,34 @@ def map_cube(
     out_shapes = [tuple(len(a) for a in own) for own in out_axes]
     names, kinds = list(loop), [d.artype for d in ins]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = [to_arrow_type(_parse_datatype_string(o.outtype)) for o in outs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            given = [_slices(part.column(len(names) + k), int(np.prod(shape)), num) for k, (shape, num) in enumerate(zip(shapes, numeric))]
+            labels = [part.column(k).to_pylist() for k in range(len(names))] if include_loopvars else []
             found: list[list] = [[] for _ in outs]
-            for row in part.itertuples(index=False):
+            for r in range(part.num_rows):
                 slices = []
-                for k, (shape, num) in enumerate(zip(shapes, numeric)):
-                    flat = np.full(int(np.prod(shape)), np.nan if num else None, float if num else object)
-                    for cell in row[len(names) + k]:
-                        flat[cell["i"]] = cell["v"]
-                    cells = flat.reshape(shape) if shape else flat[0]
+                for k, shape in enumerate(shapes):
+                    cells = given[k][r].reshape(shape) if shape else given[k][r][0]
                     slices.append(kinds[k](cells) if kinds[k] else cells)
-                given = [dict(zip(as_dict, slices))] if as_dict else slices
-                result = fn(*given, *([dict(zip(names, row[: len(names)]))] if include_loopvars else []), *args, **kwargs)
-                for k, (r, shape) in enumerate(zip(result if several else [result], out_shapes)):
-                    r = np.asarray(r, dtype=object).reshape(-1)
-                    if len(r) != int(np.prod(shape)):
-                        raise AxisError(f"output {k} has {len(r)} cells, its axes {shape}")
-                    found[k].append([None if x is None or (isinstance(x, float) and np.isnan(x)) else x for x in r.tolist()])
-            yield pd.DataFrame({**{n: part[n] for n in names}, **{f"_out{k}": f for k, f in enumerate(found)}})
+                asked = [dict(zip(as_dict, slices))] if as_dict else slices
+                result = fn(*asked, *([{n: x[r] for n, x in zip(names, labels)}] if include_loopvars else []), *args, **kwargs)
+                for k, (x, shape) in enumerate(zip(result if several else [result], out_shapes)):
+                    x = np.asarray(x)
+                    if x.dtype.kind not in "fiub":
+                        x = np.asarray(x, dtype=object)
+                    x = x.reshape(-1)
+                    if len(x) != int(np.prod(shape)):
+                        raise AxisError(f"output {k} has {len(x)} cells, its axes {shape}")
+                    found[k].append(x)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), *(_listed(f, t) for f, t in zip(found, made))], names=[*names, *(f"_out{k}" for k in range(len(outs)))])
 
     types = "".join(f"`{n}` {joined.schema[n].dataType.simpleString()}, " for n in names)
-    result = work.mapInPandas(run, types + ", ".join(f"_out{k} array<{o.outtype}>" for k, o in enumerate(outs)))
+    result = work.mapInArrow(run, types + ", ".join(f"_out{k} array<{o.outtype}>" for k, o in enumerate(outs)))
     if several:
-        result = result.persist()  # the outputs share one pass
+        result = result.persist()  # the outputs share one pass; spark.catalog.clearCache() or unpersist() of an output's table frees it
     cubes_out = []
     for k, own in enumerate(out_axes):
         cells = result.select(*names, F.posexplode(f"_out{k}").alias("_i", "value"))

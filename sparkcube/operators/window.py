@@ -61,9 +61,13 @@ def moving(cube: Cube, how: str | Callable[[Column], Column], **windows: tuple[i
     """
     spans = {cube.axis(q).name: w for q, w in windows.items()}
     if how == "mean":
-        both = [moving(cube, h, **spans).to_df(f"_{h}") for h in ("sum", "count")]
-        joined = both[0].join(both[1], list(cube.dims))
-        return cube.with_df(joined.select(*cube.dims, (F.col("_sum") / F.when(F.col("_count") > 0, F.col("_count"))).alias(cube.value)))
+        # sum and count travel together as a struct, axis after axis
+        df = cube.df.select(*cube.dims, F.struct(cube.v.cast("double").alias("s"), cube.v.isNotNull().cast("long").alias("n")).alias(cube.value))
+        both = lambda v, w: F.struct(F.sum(v["s"]).alias("s"), F.sum(v["n"]).alias("n"))
+        for name, (pre, after) in spans.items():
+            axis = cube.axis(name)
+            df = apply_map(df, axis, axis, _targets(axis, pre, after), cube.others(name), cube.value, both)
+        return cube.with_df(df.select(*cube.dims, (F.col(cube.value)["s"] / F.when(F.col(cube.value)["n"] > 0, F.col(cube.value)["n"])).alias(cube.value)))
     if how not in _SEPARABLE and len(spans) > 1:
         raise AxisError(f"{how!r} over several moving windows: use operators.slices.map_cube with offsets()")
     out = cube

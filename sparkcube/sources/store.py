@@ -10,8 +10,8 @@ import datetime
 import json
 import os
 import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
-from glob import glob
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -72,7 +72,8 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 def save_dataset(ds: Dataset, path: str, overwrite: bool = False, append: bool = False, skeleton: bool = False, compression: str = "snappy") -> Dataset:
     """Writes a dataset and opens it again. An existing store is an error unless it is to be overwritten or appended to; skeleton
-    writes axes and attributes only, all cells missing. A variable with chunks is laid out by chunk."""
+    writes axes and attributes only, all cells missing. A variable with chunks is laid out by chunk. What was read from a store that is
+    overwritten must be opened again."""
     spark = next(iter(ds.cubes.values())).df.sparkSession
     there = exists(spark, f"{path}/{MANIFEST}")
     if there and not (overwrite or append):
@@ -80,9 +81,6 @@ def save_dataset(ds: Dataset, path: str, overwrite: bool = False, append: bool =
     manifest: dict = {"axes": {}, "variables": {}, "attrs": {}}
     if there and append:
         manifest = json.loads(_read_text(spark, f"{path}/{MANIFEST}"))
-    elif there:
-        fs, at, _ = _fs(spark, path)
-        fs.delete(at, True)
     for n, c in ds.cubes.items():
         if n in manifest["variables"]:
             raise ValueError(f"variable {n} is there already")
@@ -93,7 +91,7 @@ def save_dataset(ds: Dataset, path: str, overwrite: bool = False, append: bool =
                 raise AxisError(f"axis {a.name} has {len(old['values'])} labels in the store, {len(a)} other ones here")
             manifest["axes"][a.name] = {"values": labels, "kind": a.family.value, "attrs": a.attrs}
     for n, c in ds.cubes.items():
-        folder = re.sub(r"\W", "_", n) + f"-{len(manifest['variables'])}"
+        folder = re.sub(r"\W", "_", n) + f"-{uuid.uuid4().hex[:12]}"
         frame = c.to_df(n)
         if skeleton:
             frame = frame.limit(0)
@@ -105,7 +103,13 @@ def save_dataset(ds: Dataset, path: str, overwrite: bool = False, append: bool =
         frame.write.option("compression", compression).mode("overwrite").parquet(f"{path}/{folder}")
         manifest["variables"][n] = {"folder": folder, "dims": list(c.dims), "props": c.props, "chunks": c.chunks}
     manifest["attrs"] |= ds.props
+    # the cells are in folders of their own until the manifest names them: a store may be overwritten by what is read from it, and a
+    # write that fails leaves the old one
+    old = json.loads(_read_text(spark, f"{path}/{MANIFEST}"))["variables"] if there and not append else {}
     _write_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest))
+    for v in old.values():
+        fs, at, _ = _fs(spark, f"{path}/{v['folder']}")
+        fs.delete(at, True)
     return open_dataset(spark, path)
 
 
@@ -130,12 +134,8 @@ def _open_zarr(spark: SparkSession, path: str) -> Dataset:
     return open_zarr(spark, path)
 
 
-def _unavailable(spark: SparkSession, path: str) -> Dataset:
-    raise NotImplementedError(f"{path}: no reader for this format in the installation; add one to DRIVERS")
-
-
 #: By file extension or driver name; users add their own.
-DRIVERS: dict[str, Callable[[SparkSession, str], Dataset]] = {"cube": _open_store, "zarr": _open_zarr, "netcdf": _unavailable, "gdal": _unavailable}
+DRIVERS: dict[str, Callable[[SparkSession, str], Dataset]] = {"cube": _open_store, "zarr": _open_zarr}
 _EXTENSIONS = {".zarr": "zarr", ".nc": "netcdf", ".nc4": "netcdf", ".tif": "gdal", ".tiff": "gdal", ".grib": "gdal"}
 
 
@@ -143,6 +143,8 @@ def open_dataset(spark: SparkSession, path: str, driver: str = "all", skip_keys:
     """A store as a dataset: all variables but skip_keys and those whose names hold "bnds" or "bounds"; none left is an error."""
     if driver == "all":
         driver = _EXTENSIONS.get(os.path.splitext(path.rstrip("/"))[1].lower(), "cube")
+    if driver not in DRIVERS:
+        raise NotImplementedError(f"{path}: no driver {driver!r}; there are {sorted(DRIVERS)}, and readers of one's own can be added to DRIVERS")
     ds = DRIVERS[driver](spark, path)
     kept = {n: c for n, c in ds.cubes.items() if n not in skip_keys and not re.search("bnds|bounds", n, re.I) and n not in ds.axes}
     if not kept:
@@ -150,9 +152,15 @@ def open_dataset(spark: SparkSession, path: str, driver: str = "all", skip_keys:
     return Dataset(kept, ds.props)
 
 
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob, on any file system that Spark can reach."""
+    fs, at, _ = _fs(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(at) or [])
+
+
 def open_mf_dataset(spark: SparkSession, paths: str | Sequence[str]) -> Dataset:
     """Several stores (a glob or a list) merged along the axis by which they differ."""
-    found = sorted(glob(paths)) if isinstance(paths, str) else list(paths)
+    found = _matching(spark, paths) if isinstance(paths, str) else list(paths)
     if not found:
         raise FileNotFoundError(str(paths))
     return merge_datasets([open_dataset(spark, p) for p in found])

@@ -333,3 +333,60 @@ def test_statistics_merge(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v")).repartition(7)
     got = slices.partials(df, ["k"], "v", lambda s, x: (len(x), x.sum()), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[1] / s[0])
     assert {r["k"]: r["value"] for r in got.collect()} == {k: pytest.approx(np.arange(k, 1000, 3).mean()) for k in range(3)}
+
+
+def test_cumulation_follows_positions(spark):
+    """Descending and unordered axes: the running sum goes by position, not by label."""
+    for labels in ([90, 0, -90], ["b", "c", "a"], [1, 2, 3]):
+        c = from_array(spark, np.array([1.0, 2.0, 3.0]), [Axis("lat", labels)])
+        assert reduce.mapslices("cumsum", c, "lat").to_numpy().tolist() == [1, 3, 6]
+
+
+def test_overwriting_what_is_read(spark, small, tmp_path):
+    path = str(tmp_path / "own")
+    ds = store.save_dataset(Dataset({"v": small}), path)
+    again = store.save_dataset(Dataset({"v": ds["v"].map(lambda v: v + 1)}), path, overwrite=True)
+    assert np.array_equal(again["v"].to_numpy(), small.to_numpy() + 1)
+    assert np.array_equal(store.open_dataset(spark, path)["v"].to_numpy(), small.to_numpy() + 1)
+    assert len([p for p in (tmp_path / "own").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(NotImplementedError):
+        store.open_dataset(spark, str(tmp_path / "x.nc"))
+
+
+def test_where_of_an_axis_shortens_it(small):
+    kept = small.sel(XVals=Where(F.col("XVals") > 2))
+    assert kept.shape == (2, 5) and kept.reduce("sum", "XVals", strict=True).to_numpy().tolist() == small.to_numpy()[2:].sum(axis=0).tolist()
+    masked = small.sel(XVals=Where(F.col("value") > 4))
+    assert masked.shape == (4, 5) and np.isnan(masked.to_numpy()[0, 0])
+
+
+def test_merging_equal_axes_is_an_error(small):
+    with pytest.raises(AxisError, match="fill"):
+        combine.merge_datasets([Dataset({"v": small}), Dataset({"v": small.map(lambda v: -v)})])
+
+
+def test_mapslices_of_functions(small, spark):
+    x = small.to_numpy()
+    assert np.array_equal(reduce.mapslices(lambda s: s, small, "YVals").permute("X", "Y").to_numpy(), x)
+    assert np.array_equal(reduce.mapslices(lambda s: s[::-1], small, "XVals", "YVals").to_numpy(), x[::-1])
+    ends = reduce.mapslices(lambda s, k: np.array([s[0], s[-1]]) * k, small, "YVals", args=(2,))
+    assert ends.dims == ("OutAxis1", "XVals") and np.array_equal(ends.to_numpy(), 2 * x[:, [0, -1]].T)
+    assert np.array_equal(reduce.mapslices(np.max, small, "YVals").to_numpy(), x.max(axis=1))
+    text = slices.map_cube(lambda s: "big" if s.sum() > 50 else None, small, indims=slices.InDims("YVals"), outdims=slices.OutDims(outtype="string"))
+    assert text.to_numpy().tolist() == ["big" if s > 50 else None for s in x.sum(axis=1)]
+
+
+def test_moving_windows_of_slices(small):
+    """Windows of a loop axis with a whole axis beside them: 3 x 5 cells a call, those beyond the axis as given."""
+    x = small.to_numpy()
+    seen = slices.map_cube(lambda s: float(s.sum()) if s.shape == (5, 3) else np.nan, small, indims=slices.InDims("YVals", window={"XVals": (1, 1)}, oob=100.0))
+    padded = np.vstack([np.full((1, 5), 100.0), x, np.full((1, 5), 100.0)])
+    assert seen.to_numpy().tolist() == [padded[i : i + 3].sum() for i in range(4)]
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 1))
+    one, two = np.hstack([base, 2 * base, -base]), np.hstack([base, rng.normal(size=(40, 1)), base])
+    cube = from_array(spark, np.stack([one, two], axis=2), [Axis("time", range(40)), Axis("var", ["a", "b", "c"]), Axis("pixel", [1, 2])])
+    assert slices.pca_dims(cube, "var", "time", 0.95).to_numpy().tolist() == [1, 2]
