@@ -31,6 +31,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sparkcube/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch, on its way to a worker and in the executor's own buffers.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches by bytes, whatever the texts' length: bounds the session's Arrow batches to BATCH_BYTES (64 MB by default), and leaves a
+    smaller bound as it is. The setting stays, as plans read it when they run."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, is computed once and outlives executors."""
     spark = df.sparkSession

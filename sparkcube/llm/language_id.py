@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkcube.llm._shared import small_batches
 from sparkcube.llm._text import mix, released, slices
 
 ORDERS, BITS, SMOOTHING = (1, 2, 3), 16, 0.5
@@ -68,6 +69,7 @@ def _features(codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     """Learns from text and lang of the rows that have both. The languages' shares come from all rows, n-gram counts from about
     `per_language` whole texts of each language (all, if there are no more)."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = tuple(sorted(sizes))
@@ -145,6 +147,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language that sorts first. Repeated rows get equal results; an empty table gives no rows; existing columns of the names added are
     replaced; nothing but the text decides.
     """
+    small_batches(docs.sparkSession)
     # 2**BITS numbers a language, as plain arrays: workers needn't have this package to read them
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.weights))
     added = ("lang_pred", "score", "fit")

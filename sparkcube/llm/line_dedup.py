@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkcube.llm._hashfiles import SortedFiles, write_sorted
-from sparkcube.llm._shared import hot_keys, join_salted, join_skewed, small, written
+from sparkcube.llm._shared import hot_keys, join_salted, join_skewed, small, small_batches, written
 from sparkcube.llm._text import LINE, SPACED, buffers, hash_spans, hashed, mix, released, slices, spans
 
 #: Lines of fewer words are compared for equality only.
@@ -257,6 +257,7 @@ def _sharing(kinds: DataFrame) -> DataFrame:
 
 def _deduped(docs: DataFrame, least: int) -> DataFrame:
     """dedup_lines() with a column _left: lines with words that stay."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     halves = ["h1", "h2", "h3", "h4"]
     kinds = _instances(texts, least).groupBy("a", "a2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *(F.first(h).alias(h) for h in halves))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcube.llm._shared import hot_keys, join_salted, join_skewed, small, written
+from sparkcube.llm._shared import hot_keys, join_salted, join_skewed, small, small_batches, written
 from sparkcube.llm._text import FOLD, SPACED, buffers, hashed, mix, owners, released, slices, window_codes, windows, word_codes
 from sparkcube.llm.components import connected_components
 
@@ -154,6 +154,7 @@ def _fewest_equal(percent: int) -> int:
 def sketch(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, fa, fb, regs) of every row, in one pass without a shuffle; fa and fb: a digest of the words, A-Z folded."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             for part in slices(batch, "text"):

@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkcube.llm._hashfiles import load, save
-from sparkcube.llm._shared import posix_dir
-from sparkcube.llm._text import SPACED, buffers, hashed, mix, owners, per_text, slices
+from sparkcube.llm._shared import posix_dir, small_batches
+from sparkcube.llm._text import SPACED, buffers, hashed, mix, owners, per_text, released, slices
 
 #: The end of a text, counted and predicted like a word.
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Distinct keys that a task counts before it sends them on.
 HELD = 2_000_000
+#: Bytes of text for each shard of the model, up to 2**MOST_BITS shards (1 TB); beyond, shards grow, as a task's blocks would get too small.
+SHARD_BYTES, MOST_BITS = 16 << 20, 16
 _BLOCK = "shard long, keys binary, counts binary"
 
 
@@ -192,16 +194,18 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 def train(docs: DataFrame) -> Model:
     """Counts all of `text` in docs. Null texts count as empty: their end is a token. Without rows the model knows no token."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(_fold(F.col("text")).alias("text"))
-    bits = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    size = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    bits = min(MOST_BITS, max(1, (size // SHARD_BYTES).bit_length()))
     folder = posix_dir(spark, "ngram-model")
     os.makedirs(folder, exist_ok=True)
     top = np.uint64(64 - bits)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Counter(lambda k: (k >> top).astype(np.int64))
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 yield from found.add(*np.unique(_tokens(part)[0], return_counts=True))
         yield from found.flush()
@@ -225,7 +229,7 @@ def train(docs: DataFrame) -> Model:
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Shards(folder, bases, bits)
         found = _Counter(lambda k: model.shard_of((k >> np.uint64(32)).astype(np.int64)))
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 h, to = _tokens(part)
                 unique, back = np.unique(h, return_inverse=True)
@@ -319,10 +323,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     repeated rows keep their rows; an empty table gives none; other columns are ignored. Texts of any length are scored whole.
     """
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = model.arrays()
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+        for batch in released(batches):
+            for part in slices(batch, "text"):
                 found = score_part(part, model, arrays)
                 found["perplexity"] = 10 ** np.minimum(-found["score"] / found["n_tokens"], 300)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x) for x in found.values())], names=["doc_id", *found])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcube.llm._shared import written
+from sparkcube.llm._shared import small_batches, written
 from sparkcube.llm._text import SPACED, buffers, hashed, mix, owners, per_text, released, slices
 
 CAPACITY = 2048
@@ -64,6 +64,7 @@ _PIECES = "doc_id long, source string, cluster long, piece int, start_word long,
 def pieces(docs: DataFrame, capacity: int = CAPACITY, texts: bool = False, cluster: str | None = None) -> DataFrame:
     """(doc_id, source, cluster, piece, start_word, n_tokens[, text]) of every row, at least one piece each, without a shuffle."""
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
             for part in slices(batch, "text"):

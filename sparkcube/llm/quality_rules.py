@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcube.llm._shared import written
-from sparkcube.llm._text import LINE, SPACED, buffers, hash_spans, hashed, mix, owners, per_text, slices, spans, windows
+from sparkcube.llm._shared import small_batches, written
+from sparkcube.llm._text import LINE, SPACED, buffers, hash_spans, hashed, mix, owners, per_text, released, slices, spans, windows
 
 #: A host is rejected when its shrunk rate of failing documents exceeds this.
 MAX_HOST_RATE = 0.5
@@ -50,7 +50,7 @@ def _later(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         for part in slices(batch, "text"):
             data, at = buffers(part.column("text"))
             h, starts, ends, to = hashed(data, at, SPACED)
@@ -78,6 +78,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame) -> DataFrame:
     """The features of every text, in one pass without a shuffle. A null text has no words, symbols or lines."""
+    small_batches(docs.sparkSession)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return found.mapInArrow(_measure, FEATURES)
 

@@ -113,4 +113,26 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM documents LEFT JOIN o USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op8_url_filters": OP8, "op9_near_dedup": OP9, "op10_line_dedup": OP10}
+_CRC = [0] * 256
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+
+# CRC-32 byte by byte over the hexadecimal digits; a group's middle, or a record's, in whole numbers
+OP4 = f"""
+WITH t AS (SELECT {_CRC} :: BIGINT[] AS crc),
+r AS (SELECT doc_id, encode(coalesce(text, '')) AS b, md5(coalesce(text, '')) AS k, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+s AS (
+  SELECT doc_id, k, d, CAST(octet_length(b) + 1 AS BIGINT) AS size,
+         xor(4294967295 :: BIGINT, list_reduce(list_prepend(4294967295 :: BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, crc[CAST(xor(c & 255, x) AS INT) + 1]))) AS text_crc32
+  FROM r, t
+), o AS (
+  SELECT *, sum(size) OVER (ORDER BY k, d, size ROWS UNBOUNDED PRECEDING) - size AS own, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY k) AS bytes FROM s
+), g AS (SELECT *, min(own) OVER (PARTITION BY k) AS start FROM o),
+h AS (SELECT *, CAST(least(15, floor((CASE WHEN bytes * 16 <= 0.05 * total THEN 2 * start + bytes ELSE 2 * own + size END) * 16 / (2.0 * total))) AS INT) AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY k, d, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM h
+"""
+
+ORACLE: dict[str, str] = {"op2_quality_rules": OP2, "op3_decontamination": OP3, "op4_sharding": OP4, "op8_url_filters": OP8, "op9_near_dedup": OP9, "op10_line_dedup": OP10}

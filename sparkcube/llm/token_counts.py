@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcube.llm._shared import small_batches
 from sparkcube.llm._text import slices
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -135,12 +136,13 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     A null or empty text has 0 tokens. Null doc_ids and repeated rows keep their rows; an empty table gives none; other columns are
     ignored; texts and pre-tokens of any length count whole.
     """
+    small_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(tokenizer))  # the vocabulary of one tokenizer file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(pieces.value)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 counts = counter.count(texts)
                 chars = [len(t) if t else 0 for t in texts]

@@ -1,6 +1,7 @@
 """The ten operators against brute force on small fixtures, and on nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
 import fnmatch
+import hashlib
 import math
 import os
 import random
@@ -192,6 +193,23 @@ def test_sharding(spark, docs, empty):
         if n == 16:
             sizes, mean = [sum(r["size"] for r in by[s]) for s in range(n)], sum(r["size"] for r in got) / n
             assert max(abs(s - mean) for s in sizes) < 0.06 * mean + max(r["size"] for r in got)
+            # the assignment by its law: one sorted list, cut where middles lie
+            rows = sorted(((hashlib.md5((t or "").encode()).hexdigest(), hashlib.md5(str("" if i is None else i).encode()).hexdigest(), len((t or "").encode()) + 1, i) for i, t in source), key=lambda r: r[:3])
+            total, groups, own, expect, taken = sum(r[2] for r in rows), Counter(), 0, {}, Counter()
+            for r in rows:
+                groups[r[0]] += r[2]
+            starts = {}
+            for k, _, size, i in rows:
+                starts.setdefault(k, own)
+                middle = 2 * starts[k] + groups[k] if groups[k] * n <= sharding.WHOLE_GROUP * total else 2 * own + size
+                shard = min(n - 1, middle * n // (2 * total))
+                expect[i] = shard, taken[shard]
+                taken[shard] += 1
+                own += size
+            assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == expect
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(docs, 3)
+    docs = docs.drop("shard")
     path = sharding.write_shards(docs, 3)
     again = spark.read.parquet(path)
     assert rows_of(again, "doc_id", "text") == rows_of(docs, "doc_id", "text")
