@@ -58,24 +58,32 @@ class _Sequences:
     """
 
     def __init__(self, lanes: tuple[np.ndarray, np.ndarray], lo: np.ndarray, n: np.ndarray):
-        place = np.arange(len(lanes[0])) - np.repeat(lo, n)
-        before, from_end = place - 1, np.repeat(n, n) - 1 - place
-        total = lambda h, where: np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(where.astype(np.uint64))), dtype=np.uint64)])
-        self.sums = [(total(h, place), total(h, before)) for h in lanes]
-        self.from_end = total(lanes[0], from_end)
+        self.lanes, self.n, self.kept = lanes, n, {}
+        self.place = np.arange(len(lanes[0])) - np.repeat(lo, n)
+        self.mixed = mix(np.arange(-1, int(n.max(initial=0)) + 1).astype(np.uint64))  # of the places from -1 on
+
+    def _sums(self, lane: int, what: str) -> np.ndarray:
+        """Prefix sums over all words with their place, the place before, or the place from the end; made when first asked for."""
+        if (lane, what) not in self.kept:
+            at = {"here": lambda: self.place + 1, "moved": lambda: self.place, "end": lambda: np.repeat(self.n, self.n) - self.place}[what]()
+            total = np.zeros(len(at) + 1, np.uint64)
+            np.cumsum(mix(self.lanes[lane] ^ self.mixed[at]), out=total[1:])
+            self.kept[lane, what] = total
+        return self.kept[lane, what]
 
     def of(self, lo: np.ndarray, n: np.ndarray, lane: int = 0) -> np.ndarray:
         """The first n words of the line that begins at lo."""
-        here, _ = self.sums[lane]
+        here = self._sums(lane, "here")
         return mix((here[lo + n] - here[lo]) ^ mix(n.astype(np.uint64)))
 
     def last(self, end: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The last n words of the line that ends at `end`."""
-        return mix((self.from_end[end] - self.from_end[end - n]) ^ mix(n.astype(np.uint64)))
+        total = self._sums(0, "end")
+        return mix((total[end] - total[end - n]) ^ mix(n.astype(np.uint64)))
 
     def without(self, lo: np.ndarray, n: np.ndarray, i: np.ndarray, lane: int = 0) -> np.ndarray:
         """The line but for its word i."""
-        here, moved = self.sums[lane]
+        here, moved = self._sums(lane, "here"), self._sums(lane, "moved")
         return mix((here[lo + i] - here[lo] + moved[lo + n] - moved[lo + i + 1]) ^ mix((n - 1).astype(np.uint64)))
 
 
