@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Production rules of the method: hosts and paths that are not wanted. They apply where no host/path rule decides.
@@ -20,6 +20,19 @@ GLOBS = ("*://*cheap-pills.*", "*://*spam-farm.*", "*://*casino*", "*://*/wp-log
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+#: Globs of a rule file at most; the automaton takes a bit for each of their characters in every worker.
+MOST_GLOBS = 100_000
+
+
+def load_globs(spark: SparkSession, path: str) -> list[str]:
+    """The globs of a text file, one a line; blank lines and those that begin with # are none. More than MOST_GLOBS are an error."""
+    line = F.trim("value")
+    found = spark.read.text(path).select(line.alias("g")).where((F.col("g") != "") & ~F.col("g").startswith("#")).limit(MOST_GLOBS + 1).collect()
+    if len(found) > MOST_GLOBS:
+        raise ValueError(f"{path}: more than {MOST_GLOBS} globs")
+    return [r["g"] for r in found]
+
+
 class Automaton:
     """Glob rules packed into multiword masks."""
 

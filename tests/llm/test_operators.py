@@ -602,3 +602,25 @@ def test_decontamination_by_shuffle_moves_less_than_the_texts(spark, monkeypatch
 def _shuffled(spark):
     found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
     return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_a_thousand_globs_from_a_file(spark, tmp_path):
+    rng = random.Random(12)
+    globs = [f"*://{rng.choice(['*', 'a*', 'www?'])}{rng.choice('abcdef')}{rng.randrange(40)}*/{rng.choice(['*', 'x*y', 'p?/*'])}" for _ in range(1000)]
+    (tmp_path / "rules.txt").write_text("# rules\n\n" + "\n".join(globs) + "\n")
+    assert url_filters.load_globs(spark, str(tmp_path / "rules.txt")) == globs
+    urls = [f"http://{rng.choice(['', 'a', 'www1', 'zz'])}{rng.choice('abcdefg')}{rng.randrange(40)}.net/{rng.choice(['', 'x1y', 'p1/q', 'xy'])}" for _ in range(300)]
+    raw = [u.encode() for u in urls]
+    got = url_filters.Automaton(globs).match(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64), len(globs))
+    assert (got == np.array([[fnmatch.fnmatchcase(u, g) for g in globs] for u in urls])).all() and got.any()
+
+
+def test_a_bucket_of_twenty_thousand(spark):
+    """All pairs of one level are compared in blocks: two planted pairs are found among 20,000 members of unlike registers."""
+    rng = np.random.default_rng(4)
+    regs = rng.integers(0, 255, (20_000, near_dedup.REGISTERS), dtype=np.uint8)
+    regs[19_999], regs[7_777] = regs[3], regs[12_345]
+    rows = spark.createDataFrame(pa.table({"key": pa.array(np.ones(20_000, np.int64)), "doc_id": pa.array(np.arange(20_000)), "label": pa.array(np.arange(20_000)), "n_shingles": pa.array(np.full(20_000, 100)), "regs": pa.array([r.tobytes() for r in regs])}))
+    cells = near_dedup._cells(rows, 80)
+    assert cells.count() < 20_000 * 13
+    assert rows_of(near_dedup._across(cells, 80), "a", "b") == [(3, 19_999), (7_777, 12_345)]
