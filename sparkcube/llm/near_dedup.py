@@ -10,8 +10,9 @@ A register of a set is floor(1 - log_b x) of the minimum x of exponential hash v
    smallest one only: as many pairs as members. Pairs whose joint likelihood estimate is far too low are left out, the rest are
    verified on the words of the full texts, and components are formed.
 4. Buckets that still hold several components are compared across components, by levels of size (sets of unlike sizes aren't
-   similar) and in blocks of bounded size, on registers; what may be a link is verified as well. So no link between components
-   is lost to step 3, and none inside one is needed.
+   similar) and in blocks of bounded size: first on registers, a pair only in the first band that it shares, then on the full sets
+   of hashes, which come to each cell once for all its pairs. What reaches the threshold there is verified on the words as well.
+   So no link between components is lost to step 3, and none inside one is needed.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ REGISTERS, BASE, RATE = 128, 1.1, 20.0
 BANDS, BAND_ROWS = 25, 5
 #: Members of a block of a large bucket; a task compares two blocks at a time.
 BLOCK = 2048
+#: Set elements of such a block.
+BLOCK_ELEMENTS = 1 << 20
+#: A band's key holds its number above these bits.
+KEY_BITS = 58
 #: Pairs are left unverified only this many standard deviations below the threshold.
 MARGIN = 6.0
 
@@ -88,12 +93,13 @@ def registers(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) 64-bit keys of the chosen registers; different bands have different keys."""
+    """(texts, BANDS) 64-bit keys of the chosen registers; different bands have different keys, and those of earlier bands are smaller."""
     picked = regs[:, _CHOICE].astype(np.uint64)
     key = np.zeros(picked.shape[:2], np.uint64)
     for j in range(BAND_ROWS):
         key = key * np.uint64(257) + picked[:, :, j] + np.uint64(1)
-    return mix(key ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None, :])
+    bands = np.arange(BANDS, dtype=np.uint64)
+    return mix(key ^ mix(bands + np.uint64(1))[None, :]) >> np.uint64(64 - KEY_BITS) | (bands << np.uint64(KEY_BITS))[None, :]
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -227,20 +233,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket but of different components that may be links. Each cell (bucket, x, y) holds the members of block x
-    and of block y, or of one block if they are the same.
+def _met(members: DataFrame, percent: int) -> DataFrame:
+    """(cell, doc_id, others): the members of a cell that may be linked, with other members that they may be linked with, told by sizes
+    and registers; each pair once, and a row without others for those that are only named. Each cell (bucket, x, y) holds the members
+    of block x and of block y, or of one block if they are the same.
 
+    A pair is left to the first band that it shares: that bucket is open as well, or has no other members, so that its star was tried.
     Rows come sorted by cell within a partition, so a cell is held and compared on its own: at most two blocks of about BLOCK members.
     """
     fewest = _fewest_equal(percent)
 
+    def rows_of(number: int, ids: np.ndarray, others: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(others))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), number)), pa.array(ids), lists], names=["cell", "doc_id", "others"])
+
     def pairs(cell):
         """The cell's pairs, some rows of the matrix at a time."""
-        _, ids, side, label, n, regs = cell
-        own = cell[0][0, 1] == cell[0][0, 2]
+        at, ids, side, label, n, regs = cell
+        number = int(mix(at[:1, 0].view(np.uint64) ^ mix(at[:1, 1].view(np.uint64) ^ mix(at[:1, 2].view(np.uint64)))).view(np.int64)[0])
+        own = at[0, 1] == at[0, 2]
         left, right = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min()))
         columns = np.ascontiguousarray(regs[right].T)
+        earlier = band_keys(regs)[:, : int(at[0, 0]) >> KEY_BITS]
+        named = np.zeros(len(ids), bool)
         for lo in range(0, len(left), 256):
             i = left[lo : lo + 256]
             ok = label[i][:, None] != label[right][None, :]
@@ -252,12 +267,16 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                 for r in range(REGISTERS):
                     equal += regs[i, r][:, None] == columns[r][None, :]
                 x, y = np.nonzero(ok & (equal >= fewest))
-                x, y = i[x], right[y]
                 for s in range(0, len(x), 1 << 15):
-                    u, v = x[s : s + (1 << 15)], y[s : s + (1 << 15)]
-                    fine = _may_link(regs[u], regs[v], n[u], n[v], percent)
-                    a, b = ids[u[fine]], ids[v[fine]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    u, v = i[x[s : s + (1 << 15)]], right[y[s : s + (1 << 15)]]
+                    fresh = ~(earlier[u] == earlier[v]).any(axis=1)
+                    u, v = u[fresh], v[fresh]
+                    if len(u):
+                        named[v] = True
+                        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+                        yield rows_of(number, ids[u[first]], ids[v], np.append(first, len(u)))
+        if named.any():
+            yield rows_of(number, ids[named], ids[:0], np.zeros(named.sum() + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -276,18 +295,100 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             yield from pairs(held)
 
     rows = members.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return rows.select("key", "x", "y", "doc_id", "side", "label", "n_shingles", "regs").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "x", "y", "doc_id", "side", "label", "n_shingles", "regs").mapInArrow(run, "cell long, doc_id long, others array<long>")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of one bucket but of different components that may be links by sizes and registers."""
+    pairs = _met(members, percent).select("doc_id", F.explode("others").alias("o"))
+    return pairs.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
+
+
+def _element_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, elements) of the documents in ids (_id; a written table): set size and 32 bits of each shingle's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in released(batches):
+            for part in slices(batch, "text"):
+                sets, to = shingle_sets(*buffers(part.column("text")), k)
+                short = (mix(sets) >> np.uint64(32)).astype(np.uint32)
+                packed = pa.array([short[x:y].tobytes() for x, y in zip(to[:-1], to[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(to)), packed], names=["doc_id", "n", "elements"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(small(ids), rows["doc_id"] == ids["_id"], "left_semi")
+    return rows.mapInArrow(run, "doc_id long, n long, elements binary").where("n > 0").distinct()
+
+
+def _sieved(met: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of met (a written table of _met()) whose sets of hashes reach the threshold. Equal hashes of unlike shingles can
+    only let more pairs through, so no link is lost. A cell's sets come before its pairs and are held for all of them.
+    """
+
+    class Cell:
+        def __init__(self, rows: list[tuple[int, int, bytes]]) -> None:
+            rows.sort(key=lambda r: r[0])
+            self.ids, self.n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+            self.at = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.n)])
+            values, codes = np.unique(np.frombuffer(b"".join(r[2] for r in rows), np.uint32), return_inverse=True)
+            self.codes, self.inside = codes.astype(np.int32), np.zeros(len(values), np.uint8)
+
+        def places(self, ids: np.ndarray) -> np.ndarray:
+            """Where the sets of these ids are; an id of several texts has several."""
+            lo, hi = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, side="right")
+            return np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+
+        def links(self, one: int, others: np.ndarray) -> np.ndarray:
+            found = []
+            for i in self.places(np.array([one])):
+                mine = self.codes[self.at[i] : self.at[i + 1]]
+                self.inside[mine] = 1
+                where = self.places(others)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(self.n[where]) >> 20)) + 1, [len(where)]])
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    j = where[lo:hi]
+                    first = np.cumsum(self.n[j]) - self.n[j]
+                    hits = self.inside[self.codes[np.repeat(self.at[j] - first, self.n[j]) + np.arange(self.n[j].sum())]]
+                    both = np.add.reduceat(hits, first, dtype=np.int64)
+                    found.append(self.ids[j[100 * both >= percent * (self.n[i] + self.n[j] - both)]])
+                self.inside[mine] = 0
+            return np.concatenate(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, cell = None, [], None
+        for batch in released(batches):
+            a, b = [], []
+            others = batch.column("others")
+            for r, (number, one, n, elements) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "doc_id", "n", "elements")))):
+                if number != now:
+                    now, sets, cell = number, [], None
+                if elements is not None:
+                    sets.append((one, n, elements))
+                    continue
+                if cell is None:
+                    cell, sets = Cell(sets), []
+                found = cell.links(one, others[r].values.to_numpy())
+                a.append(np.minimum(found, one))
+                b.append(np.maximum(found, one))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    sets = _element_sets(docs, written(met.select(F.col("doc_id").alias("_id")).distinct(), "met"), k)
+    sets = met.select("cell", "doc_id").distinct().join(sets, "doc_id").select("cell", "doc_id", "n", "elements", F.lit(None).cast("array<bigint>").alias("others"))
+    rows = sets.union(met.where(F.size("others") > 0).select("cell", "doc_id", F.lit(None).cast("long"), F.lit(None).cast("binary"), "others"))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("elements").isNull())
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _cells(open_members: DataFrame, percent: int) -> DataFrame:
     """The members (key, doc_id, n_shingles, ...) of open buckets, each once for every cell (key, x, y) that it has a part in.
 
     Levels are logarithms of the size to the base of the threshold: sets two levels apart can't reach it. A level of a bucket is cut
-    into blocks by a hash; blocks meet those of their own level and of the next one.
+    into blocks of BLOCK members and BLOCK_ELEMENTS elements at most, by a hash; blocks meet those of their own level and of the next one.
     """
     level = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(max(-math.log(percent / 100), 1e-9) * (1 + 1e-9))).cast("long")
     members = written(open_members.withColumn("level", level), "open-members")
-    sizes = written(members.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.count(F.lit(1)).alias("rows")), "open-levels")
+    sizes = written(members.groupBy("key", "level").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_ELEMENTS)).cast("long").alias("blocks"), F.count(F.lit(1)).alias("rows")), "open-levels")
     near = lambda by, name: sizes.select("key", (F.col("level") + by).alias("level"), F.col("blocks").alias(name))
     sizes = sizes.join(near(-1, "above"), ["key", "level"], "left").join(near(1, "below"), ["key", "level"], "left").na.fill(0, ["above", "below"])
     placed = join_skewed(members, sizes, ["key", "level"], "rows", members.count()).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -334,11 +435,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_ = labelled.groupBy("key", "n").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("s"), F.sum(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))).alias("t")
     )
-    # buckets of the same members are compared once; two members were compared by their star already
+    # buckets of the same members are compared once, in their first band; two members were compared by their star already
     open_ = written(open_.where("lo < hi and n > 2").groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key", "n"), "open-buckets")
     again = join_skewed(labelled.select("key", "doc_id", "label"), open_, ["key"], "n", n_reps * BANDS).join(reps, "doc_id")
     cells = _cells(again.select("key", "doc_id", "label", "n_shingles", "regs"), percent)
-    more = _across(cells, percent).join(tried, ["a", "b"], "left_anti")
+    more = _sieved(written(_met(cells, percent), "met-members"), docs, k, percent).join(tried, ["a", "b"], "left_anti")
     links = links.union(_verified(written(more, "more-pairs"), docs, k, percent))
 
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(same))

@@ -624,3 +624,46 @@ def test_a_bucket_of_twenty_thousand(spark):
     cells = near_dedup._cells(rows, 80)
     assert cells.count() < 20_000 * 13
     assert rows_of(near_dedup._across(cells, 80), "a", "b") == [(3, 19_999), (7_777, 12_345)]
+
+
+def test_a_family_of_unlinked_documents(spark, monkeypatch):
+    """Three hundred variants of one text, too far from each other for a link, and a chain of three among them: what buckets hold across
+    components is told by sets that come once to each cell, a pair in one cell only, and texts are brought together for links alone."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for d in range(300):
+        text = list(base)
+        for at in rng.sample(range(300), 8):
+            text[at] = f"d{d}n{at}"
+        texts.append(text)
+    for step in (1, 2):
+        text = list(texts[150 if step == 1 else -1])
+        for at in rng.sample(range(300), 6):
+            text[at] = f"s{step}n{at}"
+        texts.append(text)
+    pairs, met = [], []
+    verified, sieved = near_dedup._verified, near_dedup._sieved
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    monkeypatch.setattr(near_dedup, "_sieved", lambda m, *rest: met.append(m) or sieved(m, *rest))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in texts]
+    label = list(range(len(texts)))
+    for _ in range(3):
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert 1 <= sum(i != x for i, x in enumerate(label)) <= 4
+    assert rows_of(near_dedup.near_duplicates(df, 3, 85), "doc_id", "component_id") == sorted(enumerate(label), key=repr)
+    compared = [tuple(sorted((r["doc_id"], o))) for r in met[0].collect() for o in r["others"]]
+    assert len(compared) == len(set(compared)) > 5_000
+    assert pairs[1] <= 4
+
+
+def test_sieve_of_documents_with_several_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, "quite other words stand here"), (2, text + " more"), (3, text.replace("w20 ", "x ").replace("w40 ", "y ")), (4, text), (4, text), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = spark.createDataFrame([(7, 1, [2, 3]), (7, 2, []), (7, 3, []), (-9, 4, [2]), (-9, 2, [3]), (-9, 2, []), (-9, 3, [])], "cell long, doc_id long, others array<long>")
+    assert rows_of(near_dedup._sieved(met, docs, 3, 85), "a", "b") == [(1, 2), (2, 4)]
