@@ -20,7 +20,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     columns don't matter, repeated rows share their fate, and an empty table gives none.
     """
     model = language_id.train(docs)
-    return language_id.keep_languages(docs, model, floor=language_id.floors(docs, model))
+    return language_id.keep_native(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

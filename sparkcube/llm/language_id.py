@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkcube.llm._shared import small_batches
+from sparkcube.llm._shared import small_batches, written
 from sparkcube.llm._text import mix, released, slices
 
 ORDERS, BITS, SMOOTHING = (1, 2, 3), 16, 0.5
-#: Expected number of training texts per language: of a language with more, a reproducible share of this size is drawn by doc_id.
-TRAIN_DOCS = 5_000
 #: What a filter takes for a language at least.
 MIN_SCORE = 0.5
 #: Texts of fewer characters have too few n-grams for their mean to tell anything.
@@ -66,17 +64,14 @@ def _features(codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield i, (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
-    """Learns from text and lang of the rows that have both. The languages' shares come from all rows, n-gram counts from about
-    `per_language` whole texts of each language (all, if there are no more)."""
+def train(docs: DataFrame) -> Model:
+    """Learns from text and lang of the rows that have both: the languages' shares and n-gram counts come from all of them."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros(0), np.zeros((1 << BITS, 0)))
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, per_language / sizes[name]))])[F.col("lang")]
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)) < share * float(1 << 40)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << BITS), np.int64)
@@ -99,25 +94,27 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
         for r, c in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([c.tobytes()])], names=["row", "counts"])
 
-    drawn = rows.where(draw).select("text", "lang").mapInArrow(count, "row long, buckets binary, counts binary")
+    partial = rows.select("text", "lang").mapInArrow(count, "row long, buckets binary, counts binary")
     counts = np.zeros((1 << BITS, len(languages)))
-    for r in drawn.repartition("row").mapInArrow(add, "row long, counts binary").collect():  # one row a language
+    for r in partial.repartition("row").mapInArrow(add, "row long, counts binary").collect():  # one row a language
         counts[:, r["row"]] = np.frombuffer(r["counts"], np.int64)
     weights = np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * (1 << BITS))
     n = np.array([sizes[x] for x in languages], float)
     return Model(languages, np.log(n / n.sum()), weights)
 
 
-def floors(docs: DataFrame, model: Model, per_language: int = TRAIN_DOCS) -> dict[str, float]:
-    """For each language the mean log probability per n-gram below which a text is foreign to it: FLOOR_DEVIATIONS below the mean of
-    about `per_language` texts of at least FLOOR_CHARS characters that are predicted as it. A language of one such text has no floor."""
-    sizes = docs.count()
-    draw = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1 << 40)) < min(1.0, per_language * max(1, len(model.languages)) / max(1, sizes)) * float(1 << 40)
-    found = predict(docs.where(draw).select("text"), model).where((F.char_length("text") >= FLOOR_CHARS) & (F.col("lang_pred") != UNKNOWN))
+def _floors(found: DataFrame) -> dict[str, float]:
+    found = found.where((F.char_length("text") >= FLOOR_CHARS) & (F.col("lang_pred") != UNKNOWN))
     rows = found.groupBy("lang_pred").agg(F.avg("fit").alias("m"), F.stddev("fit").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # one row a language
     return {r["lang_pred"]: r["m"] - FLOOR_DEVIATIONS * r["s"] for r in rows if r["n"] > 1}
 
 
+def floors(docs: DataFrame, model: Model) -> dict[str, float]:
+    """For each language the mean log probability per n-gram below which a text is foreign to it: FLOOR_DEVIATIONS below the mean of
+    all texts of at least FLOOR_CHARS characters that are predicted as it. A language of one such text has no floor."""
+    return _floors(predict(docs.select("text"), model))
+
+
 def scores(part: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(texts, languages) posterior probabilities, whether each text has a letter, and the best language's mean log probability per n-gram."""
     codes, at = _characters(part)
@@ -170,12 +167,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(c, t) for c, t in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType())))]))
 
 
-def keep_languages(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, floor: dict[str, float] | None = None) -> DataFrame:
-    """The documents with a language: those of `und`, those below min_score and, where floor (see floors()) is given, texts of at least
-    FLOOR_CHARS characters that lie below their language's floor go. A model without languages can't tell: then all texts with a letter stay.
-    """
-    added = ("lang_pred", "score", "fit")
-    found = predict(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in added}), model)
+_ADDED = ("lang_pred", "score", "fit")
+
+
+def _judged(docs: DataFrame, model: Model) -> DataFrame:
+    """predict(), where columns of docs of the names added go on as _own_..."""
+    return predict(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in _ADDED}), model)
+
+
+def _kept(found: DataFrame, columns: list[str], model: Model, min_score: float, floor: dict[str, float] | None) -> DataFrame:
     if model.languages:
         ok = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)
         if floor:
@@ -183,4 +183,17 @@ def keep_languages(docs: DataFrame, model: Model, min_score: float = MIN_SCORE,
             ok &= (F.char_length("text") < FLOOR_CHARS) | least.isNull() | (F.col("fit") >= least)
     else:
         ok = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.where(ok).select(*[F.col(f"_own_{c}").alias(c) if c in added else F.col(c) for c in docs.columns])
+    return found.where(ok).select(*[F.col(f"_own_{c}").alias(c) if c in _ADDED else F.col(c) for c in columns])
+
+
+def keep_languages(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, floor: dict[str, float] | None = None) -> DataFrame:
+    """The documents with a language: those of `und`, those below min_score and, where floor (see floors()) is given, texts of at least
+    FLOOR_CHARS characters that lie below their language's floor go. A model without languages can't tell: then all texts with a letter stay.
+    """
+    return _kept(_judged(docs, model), docs.columns, model, min_score, floor)
+
+
+def keep_native(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+    """keep_languages() with the floors() of docs themselves; each text is predicted once, into a table that both read."""
+    found = written(_judged(docs, model), "languages")
+    return _kept(found, docs.columns, model, min_score, _floors(found))

@@ -667,3 +667,22 @@ def test_sieve_of_documents_with_several_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     met = spark.createDataFrame([(7, 1, [2, 3]), (7, 2, []), (7, 3, []), (-9, 4, [2]), (-9, 2, [3]), (-9, 2, []), (-9, 3, [])], "cell long, doc_id long, others array<long>")
     assert rows_of(near_dedup._sieved(met, docs, 3, 85), "a", "b") == [(1, 2), (2, 4)]
+
+
+def test_language_model_and_floors_come_from_all_rows(spark):
+    """Six thousand texts of one language: n-gram counts and floors are those of every text."""
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(60)) for _ in range(6_000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4).cache()
+    model = language_id.train(df)
+    part = pa.RecordBatch.from_pydict({"text": texts})
+    own = sum(np.bincount(b, minlength=1 << language_id.BITS) for _, b in language_id._features(*language_id._characters(part)))
+    assert np.allclose(model.weights[:, 0], np.log((own + language_id.SMOOTHING) / (own.sum() + language_id.SMOOTHING * len(own))), rtol=1e-12, atol=0)
+    fit = np.array([r["fit"] for r in language_id.predict(df, model).collect() if len(r["text"]) >= language_id.FLOOR_CHARS])
+    want = fit.mean() - language_id.FLOOR_DEVIATIONS * fit.std(ddof=1)
+    assert len(fit) > 5_500 and math.isclose(language_id.floors(df, model)["x"], want, rel_tol=1e-9)
+    noise = spark.createDataFrame([(-1, "zqzqvw " * 60, None), (-2, "zq", None), (-3, None, None)], df.schema)
+    both = df.union(noise)
+    floor = language_id.floors(both, model)
+    native = rows_of(language_id.keep_native(both, model), "doc_id", "lang")
+    assert native == rows_of(language_id.keep_languages(both, model, floor=floor), "doc_id", "lang") and len(native) > 5_000
